@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, quality
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_query,
+    "op4_quality_rules": quality.op4_query,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op4_quality_rules": quality.OP4_SQL,
 }

@@ -56,17 +56,23 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def heavy_rows(table: DataFrame, weight: str, total: int) -> DataFrame:
+    """The rows of table (one for each key) whose weight is a HEAVY_KEYS-th of total or more.
+
+    As the weights sum to total at most, these are HEAVY_KEYS rows at most: safe to broadcast.
+    """
+    return table.filter(F.col(weight) * HEAVY_KEYS >= total)
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join of rows to table on key, where single keys may hold a large share of rows.
 
-    table has one row for each key; weight tells how many of rows have that key. Its
-    HEAVY_KEYS heaviest rows are broadcast (a fixed bound), which covers any key that holds
-    a thousandth of all rows; the others meet in a shuffled join, where no key is large.
-    Null keys get null columns.
+    table has one row for each key; weight tells how many of the total rows have that key.
+    Its heavy rows are broadcast, which covers any key that holds a thousandth of all rows;
+    the others meet in a shuffled join, where no key is large. Null keys get null columns.
     """
-    heavy = table.orderBy(F.col(weight).desc(), F.col(key)).limit(HEAVY_KEYS)
     names = [c for c in table.columns if c != key]
-    first = rows.join(F.broadcast(heavy.withColumn("_hit", F.lit(1))), key, "left")
+    first = rows.join(F.broadcast(heavy_rows(table, weight, total).withColumn("_hit", F.lit(1))), key, "left")
     # rows that are served already get join keys that no row of the table has, so they spread out
     spread = F.when(F.col("_hit") == 1, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).otherwise(F.lit(0))
     light = table.select(key, F.lit(0).cast("long").alias("_spread"), *[F.col(c).alias(f"_light_{c}") for c in names])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, SPACE, lower_ascii, stored
+from .common import SPACE, heavy_rows, lower_ascii, stored
 
 MIN_KEY_CHARS = 10
 
@@ -45,16 +45,11 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     """The rows (id, row, pos) of lines whose hash a smaller id holds; a null id comes last.
 
     Hashes are range-partitioned with a secondary sort by id and position, and the first id
-    of each is streamed along. The HEAVY_KEYS most frequent hashes, which include any with a
-    thousandth of the rows, are pre-aggregated and resolved by a broadcast of so few rows.
+    of each is streamed along. Hashes with a HEAVY_KEYS-th of the rows or more, of which there
+    are so many at most, are pre-aggregated and resolved by a broadcast.
     """
-    heavy = (
-        lines.groupBy("line_hash")
-        .agg(F.count("*").alias("n"), F.min("id").alias("heavy_first"))
-        .orderBy(F.col("n").desc(), "line_hash")
-        .limit(HEAVY_KEYS)
-        .select("line_hash", "heavy_first", F.lit(True).alias("heavy"))
-    )
+    counts = lines.groupBy("line_hash").agg(F.count("*").alias("n"), F.min("id").alias("heavy_first"))
+    heavy = heavy_rows(counts, "n", lines.count()).select("line_hash", "heavy_first", F.lit(True).alias("heavy"))
     told = lines.join(F.broadcast(heavy), "line_hash", "left")
     hot = told.filter("heavy").withColumn("first_id", F.col("heavy_first"))
     stream = Window.partitionBy("line_hash").orderBy(F.col("id").asc_nulls_last(), "pos").rowsBetween(Window.unboundedPreceding, 0)

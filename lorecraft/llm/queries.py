@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import langid, line_dedup, quality
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_query,
     "op4_quality_rules": quality.op4_query,
+    "op6_language_id": langid.op6_query,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, quality
+from . import exact_dedup, langid, line_dedup, minhash, quality
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_query,
     "op4_quality_rules": quality.op4_query,
     "op6_language_id": langid.op6_query,
     "op7_exact_dedup": exact_dedup.op7_query,
+    "op10_minhash_near_dedup": minhash.op10_query,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op10_minhash_near_dedup": minhash.OP10_SQL,
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, minhash, quality
+from . import exact_dedup, langid, line_dedup, minhash, packing, quality, sharding
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_query,
     "op2_line_dedup": line_dedup.op2_query,
     "op4_quality_rules": quality.op4_query,
     "op6_language_id": langid.op6_query,
     "op7_exact_dedup": exact_dedup.op7_query,
+    "op9_sharding": sharding.op9_query,
     "op10_minhash_near_dedup": minhash.op10_query,
 }
 SQL = {

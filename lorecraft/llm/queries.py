@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, minhash, packing, quality, sharding
+from . import exact_dedup, langid, line_dedup, minhash, packing, quality, sentencepiece_codec, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_query,
     "op2_line_dedup": line_dedup.op2_query,
+    "op3_sentencepiece": sentencepiece_codec.op3_query,
     "op4_quality_rules": quality.op4_query,
+    "op5_substring_dedup": substring_dedup.op5_query,
     "op6_language_id": langid.op6_query,
     "op7_exact_dedup": exact_dedup.op7_query,
+    "op8_warc": warc.op8_query,
     "op9_sharding": sharding.op9_query,
     "op10_minhash_near_dedup": minhash.op10_query,
 }
@@ -17,5 +20,6 @@ SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op10_minhash_near_dedup": minhash.OP10_SQL,
 }

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower_ascii
-
 SYMBOLS = "#*$%&|<>"
 # Phrases of site furniture, in lower case.
 BOILERPLATE = [
@@ -22,43 +20,50 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document is rejected when the lines that stay hold less than this share of its words.
 MIN_KEPT_SHARE = 0.5
-#: Words of a line that may carry a symbol, be a separator or be in capitals, as a share.
-MAX_SYMBOL_SHARE, MAX_SEPARATOR_SHARE, MAX_CAPITAL_SHARE = 0.2, 0.2, 0.7
-#: A line of so many words or more must have some sentence mark.
-LONG_LINE_WORDS = 30
+#: Words of a line that may carry a symbol or be a menu separator, as a share; characters that may be capitals.
+MAX_SYMBOL_SHARE, MAX_SEPARATOR_SHARE, MAX_CAPITAL_SHARE = 0.2, 0.2, 0.4
+SEPARATORS = "|»›>·•/"
+#: A line of so many words or more must have some sentence mark; longer ones are no site furniture.
+LONG_LINE_WORDS, FURNITURE_WORDS = 30, 40
+#: Repeated windows that are searched one by one.
+SHORT = 64
 
 
 def words_of(text: Column) -> Column:
     """The runs of other characters than [\\x20\\x09-\\x0D]."""
-    return F.array_remove(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def repeat_words(words: Column) -> Column:
     """Number of words in 3-word windows that are found twice or more.
 
-    Sorted 64-bit hashes tell whether any window repeats; only then are the windows
-    themselves sorted with their places, equal neighbours taken, and the places covered
-    counted without counting one twice.
+    Most texts have no two windows with one 64-bit hash, and need no more. Else the places
+    whose hash repeats are taken, their windows sorted with the places, equal neighbours
+    kept, and the words covered counted without counting one twice.
     """
     n = F.size(words)
     starts = F.sequence(F.lit(0), n - 3)
-    hashes = F.sort_array(F.transform(starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    some = let(hashes, lambda h: F.exists(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.get(h, i) == F.get(h, i - 1)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    placed = F.sort_array(F.transform(starts, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
-    twice = let(
-        placed,
-        lambda p: F.sort_array(
-            F.transform(F.filter(p, lambda x, i: (x["w"] == F.get(p, i + 1)["w"]) | ((i > 0) & (x["w"] == F.get(p, i - 1)["w"]))), lambda x: x["i"])
-        ),
-    )
-    covered = let(
-        twice,
-        lambda t: F.aggregate(
-            F.transform(t, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(t, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x
-        ),
-    )
-    return F.when(n < 4, F.lit(0)).when(some, covered).otherwise(F.lit(0)).cast("long")
+
+    def counted(h: Column) -> Column:
+        again = let(F.sort_array(h), lambda o: F.array_distinct(F.filter(o, lambda x, i: x == F.get(o, i - 1))))
+        # a short list is searched for each place; where much repeats, all windows are sorted
+        places = let(again, lambda r: F.when(F.size(r) <= SHORT, F.filter(starts, lambda i: F.array_contains(r, F.get(h, i)))).otherwise(starts))
+        placed = F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
+        twice = let(
+            placed,
+            lambda p: F.sort_array(
+                F.transform(F.filter(p, lambda x, i: (x["w"] == F.get(p, i + 1)["w"]) | (x["w"] == F.get(p, i - 1)["w"])), lambda x: x["i"])
+            ),
+        )
+        return let(
+            twice,
+            lambda t: F.aggregate(F.transform(t, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(t, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x),
+        )
+
+    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), counted(h)).otherwise(F.lit(0)))
+    return F.when(n < 4, F.lit(0)).otherwise(some).cast("long")
 
 
 def let(value: Column, body) -> Column:
@@ -67,11 +72,11 @@ def let(value: Column, body) -> Column:
 
 
 def base_columns(text: Column, words: Column) -> dict[str, Column]:
-    spoken = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
+    spoken = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long"),
         "n_dup_lines": let(spoken, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long"),
         "n_repeat_words": repeat_words(words),
     }
@@ -80,28 +85,24 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
 def line_fault(line: Column) -> Column:
     """Name of the first rule that the line fails, or null.
 
-    punctuation: too many words with symbols or with an exclamation after capitals, or a long line without a sentence
-    mark; navigation: menu separators between words; boilerplate: a phrase of site furniture.
+    navigation: menu separators between words; punctuation: too many words with symbols, a line in capitals, or a long
+    line without a sentence mark; boilerplate: a phrase of site furniture. Cheap tests of the whole line come first, so
+    that few lines are cut into words.
     """
-    flat = F.translate(line, SPACE, " " * len(SPACE))
-    words = F.array_remove(F.split(flat, " "), "")
-    n = F.size(words)
-    share = lambda rule, most: F.size(F.filter(words, rule)) > n * F.lit(most)
-    symbol = lambda w: F.translate(w, SYMBOLS, "") != w
+    has = lambda marks: F.rlike(line, F.lit(f"[{marks}]"))
+    n = F.size(words_of(line))
+    over = lambda rule, most: let(words_of(line), lambda w: (F.size(w) >= 3) & (F.size(F.filter(w, rule)) > F.size(w) * F.lit(most)))
     capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
-    small_letters = F.length(line) - F.length(F.regexp_replace(line, r"\p{Ll}", ""))
-    mark = F.translate(line, ".!?…;:", "") != line
+    small = F.lower(line)
     phrases = F.lit(False)
-    small = lower_ascii(flat)
     for phrase in BOILERPLATE:
         phrases = phrases | F.contains(small, F.lit(phrase))
     return (
-        F.when(n == 0, F.lit(None).cast("string"))
-        .when((n >= 3) & share(lambda w: w.isin("|", "»", "›", ">", "·", "•", "/"), MAX_SEPARATOR_SHARE), "navigation")
-        .when((n >= 3) & share(symbol, MAX_SYMBOL_SHARE), "punctuation")
-        .when((n >= 5) & (capitals > F.lit(MAX_CAPITAL_SHARE) * (capitals + small_letters)), "punctuation")
-        .when((n >= LONG_LINE_WORDS) & ~mark, "punctuation")
-        .when((n <= 40) & phrases, "boilerplate")
+        F.when(has(SEPARATORS) & over(lambda w: w.isin(*SEPARATORS), MAX_SEPARATOR_SHARE), "navigation")
+        .when(has(SYMBOLS) & over(lambda w: F.rlike(w, F.lit(f"[{SYMBOLS}]")), MAX_SYMBOL_SHARE), "punctuation")
+        .when((capitals > F.lit(MAX_CAPITAL_SHARE) * F.length(line)) & (n >= 5), "punctuation")
+        .when(~has(".!?…;:") & (n >= LONG_LINE_WORDS), "punctuation")
+        .when(phrases & (n <= FURNITURE_WORDS), "boilerplate")
     )
 
 
@@ -157,16 +158,14 @@ WITH d AS (
   SELECT doc_id, line, list_filter(string_split(translate(line, {_WS}, repeat(' ', 6)), ' '), lambda x: x <> '') AS lw
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
 ), counted AS (
-  SELECT *, len(lw) AS n, translate(translate(line, {_WS}, repeat(' ', 6)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
-    length(line) - length(regexp_replace(line, '\p{{Lu}}', '', 'g')) AS up, length(line) - length(regexp_replace(line, '\p{{Ll}}', '', 'g')) AS low
-  FROM lines
+  SELECT *, len(lw) AS n, lower(line) AS small, length(line) - length(regexp_replace(line, '\p{{Lu}}', '', 'g')) AS up FROM lines
 ), judged AS (
   SELECT doc_id, line, n, n > 0 AND (
-      (n >= 3 AND len(list_filter(lw, lambda x: x IN ('|', '»', '›', '>', '·', '•', '/'))) > n * {MAX_SEPARATOR_SHARE}::DOUBLE)
+      (n >= 3 AND len(list_filter(lw, lambda x: contains('{SEPARATORS}', x) AND length(x) = 1)) > n * {MAX_SEPARATOR_SHARE}::DOUBLE)
       OR (n >= 3 AND len(list_filter(lw, lambda x: translate(x, '{SYMBOLS}', '') <> x)) > n * {MAX_SYMBOL_SHARE}::DOUBLE)
-      OR (n >= 5 AND up > {MAX_CAPITAL_SHARE}::DOUBLE * (up + low))
+      OR (n >= 5 AND up > {MAX_CAPITAL_SHARE}::DOUBLE * length(line))
       OR (n >= {LONG_LINE_WORDS} AND translate(line, '.!?…;:', '') = line)
-      OR (n <= 40 AND ({_PHRASES}))) AS bad
+      OR (n <= {FURNITURE_WORDS} AND ({_PHRASES}))) AS bad
   FROM counted
 ), by_doc AS (
   SELECT doc_id, sum(n) FILTER (WHERE NOT bad) AS kept_words, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines FROM judged GROUP BY doc_id

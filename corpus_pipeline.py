@@ -33,9 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every line that a smaller doc_id holds; a document that loses all lines keeps an empty text."""
+    """Cuts every line that a smaller doc_id holds; a document of nothing else goes."""
     kept, _ = line_dedup.dedup_lines(docs)
-    return with_length(kept, docs.columns)
+    return with_length(kept.filter((F.col("n_dropped") == 0) | (F.length("text") > 0)), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of 50 words or more that a smaller doc_id holds too."""
-    spans = substring_dedup.repeated_passages(docs.select("doc_id", "text"))
-    return with_length(substring_dedup.cut_passages(docs, spans), docs.columns)
+    """Cuts every passage of 50 words or more that a smaller doc_id holds too; a document of nothing else goes."""
+    spans = stored(substring_dedup.repeated_passages(docs.select("doc_id", "text")), "spans")
+    kept = substring_dedup.cut_passages(docs, spans)
+    emptied = kept.filter("text = ''").join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
+    return with_length(kept.join(emptied, "doc_id", "left_anti"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

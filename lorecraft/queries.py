@@ -1,6 +1,9 @@
-"""The queries of the learning-and-knowledge operators and their SQL."""
+"""The queries of the learning-and-knowledge operators and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lorecraft.plans import review
+
+_GROUPS = [review]
+QUERIES = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
+SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}

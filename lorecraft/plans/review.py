@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from lorecraft import bindings as B
 from lorecraft.operators import review as R
+from lorecraft.plans.registry import Registry
 
 NOW_MS = 1706659200000
 DAY = "2024-01-30"
-QUERIES, SQL = {}, {}
+query = Registry()
 
 _STREAK = B.RV_SQL + """, s1 AS (
   SELECT *, (NOT correct OR coalesce(hint_used, FALSE)) AS bad FROM rv
@@ -55,16 +56,6 @@ _QUEUE = _STREAK + f""", lastu AS (
 """
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 @query("RV1_mastery_snapshot", _STREAK + "SELECT learner, unit, review_count, correct_count, incorrect_count, no_hint_correct_count, hint_used_count, exercise_count, accuracy, last_reviewed_ms FROM mast")
 def rv1(spark, d):
     return R.mastery(B.review_events(spark, d)).select("learner", "unit", "review_count", "correct_count", "incorrect_count", "no_hint_correct_count", "hint_used_count", "exercise_count", "accuracy", "last_reviewed_ms")

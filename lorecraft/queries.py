@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorecraft.plans import review
+from lorecraft.plans import retrieval, review, texts
 
-_GROUPS = [review]
-QUERIES = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
-SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}
+_GROUPS = [texts.query, retrieval.query, review.query]
+QUERIES = {name: f for group in _GROUPS for name, f in group.queries.items()}
+SQL = {name: sql for group in _GROUPS for name, sql in group.sql.items()}

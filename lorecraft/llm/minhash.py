@@ -3,10 +3,12 @@
 A document is the set of its 5-word shingles; its sketch keeps the k smallest hashes. Rows
 with equal sets form a class, and the work is done on classes. Inverted lists of retained
 values generate candidates: only values that two classes retain, and of each class only so
-many of its rarest ones that a pair over the threshold must meet in one. A list meets at a
-centre, so a group of n near copies gives n pairs; what the links found so far do not join
-is paired again until no list holds an untried pair between components. The sketch of the
-union estimates each pair, and the full sets of the texts decide.
+many of its rarest ones that a pair over the threshold must meet in one. The shingles that a
+candidate shares with no other one bound its similarity to any of them, which drops most
+false candidates. A list meets at its most common text, so a group of n near copies gives n
+pairs; what the links found so far do not join is paired again until no list holds an
+untried pair between components. The sketch of the union estimates each pair, and the full
+sets of the texts decide.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ SHARED = 0.55
 #: Estimates below this are dropped before texts are compared: over five deviations under 0.85.
 ESTIMATE = 0.55
 REMEMBERED = 400_000
-#: Rounds in which every list has one centre, before the rest is paired in full.
-STAR_ROUNDS = 3
+#: Times that candidates are held against each other's shingles; each time fewer are left.
+PRUNINGS = 2
 
 
 class WordHash(dict):
@@ -97,12 +100,33 @@ def retained_lists(classes: DataFrame) -> DataFrame:
     return ranked.filter(room > 0).select("cls", "n_shingles", F.explode(F.slice("values", F.lit(1), room.cast("int"))["v"]).alias("v"))
 
 
+def candidate_lists(lists: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
+    """lists with `common`: how many of a class's shingles any other class of lists has; texts(cls, text) are theirs.
+
+    A pair's intersection is no larger than the smaller `common`, so a class whose own
+    shingles alone keep it under the threshold goes. This is exact: all shingles are counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            sets = [np.unique(shingle_stream(t, known, size)) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([np.empty(0, np.int64), *sets]))], ["cls", "v"])
+
+    kind = texts.schema["cls"].dataType.simpleString()
+    shingles = texts.mapInArrow(run, f"cls {kind}, v long")
+    alone = shingles.groupBy("v").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).filter("n = 1").groupBy("cls").agg(F.count("*").alias("alone"))
+    told = lists.join(alone, "cls", "left").withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return told.filter(100 * F.col("common") >= threshold * F.col("n_shingles"))
+
+
 def pairs_between(lists: DataFrame, labels: DataFrame | None, star: bool, threshold: int) -> DataFrame:
     """(a, b) with a < b: pairs of lists that no component joins yet and whose sizes allow a link.
 
-    star: each list pairs one class, its smallest outside the list's most frequent component
-    (at first its smallest), with all others. Else every class outside that component is
-    paired with all that are not of its own.
+    star: each list pairs one class outside its most frequent component with all others, the one
+    with the fewest shingles of its own: what links with anything is likely to link with it.
+    Else every class outside that component is paired with all that are not of its own.
     """
     total = lists.count()
     if labels is not None:
@@ -110,20 +134,20 @@ def pairs_between(lists: DataFrame, labels: DataFrame | None, star: bool, thresh
         lists = lists.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     else:
         lists = lists.withColumn("label", F.col("cls"))
-    by_label = lists.groupBy("v", "label").agg(F.count("*").alias("n"), F.min("cls").alias("first"))
+    by_label = lists.groupBy("v", "label").agg(F.count("*").alias("n"))
     by_list = by_label.groupBy("v").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    by_list = stored(by_list.select("v", "n", "most"), "parts")
-    told = join_heavy(lists, by_list, "v", "n", total).filter("n IS NOT NULL")
-    told = stored(told, "open")
-    few = told.filter("label <> most").select("v", F.col("cls").alias("x"), F.col("n_shingles").alias("nx"), F.col("label").alias("lx"))
+    told = stored(join_heavy(lists, stored(by_list.select("v", "n", "most"), "parts"), "v", "n", total).filter("n IS NOT NULL"), "open")
+    few = told if labels is None else told.filter("label <> most")
+    few = few.select("v", F.col("cls").alias("x"), F.col("n_shingles").alias("nx"), F.col("common").alias("cx"), F.col("label").alias("lx"), "n")
+    most = F.least("common", "cx")
+    possible = (F.col("label") != F.col("lx")) & (100 * most >= threshold * (F.col("n_shingles") + F.col("nx") - most))
     if star:
-        few = few.groupBy("v").agg(F.min(F.struct("x", "nx", "lx")).alias("s")).select("v", "s.*")
-        n = told.groupBy("v").agg(F.count("*").alias("n"))
-        met = join_heavy(told.drop("n"), few.join(n, "v"), "v", "n", total).filter("x IS NOT NULL")
+        central = F.struct(((F.col("nx") - F.col("cx")) / F.col("nx")).alias("own"), F.col("x").alias("x"))
+        few = few.groupBy("v").agg(F.min_by(F.struct("x", "nx", "cx", "lx", "n"), central).alias("s")).select("v", "s.*")
+        met = join_heavy(told.drop("n"), few, "v", "n", total).filter("x IS NOT NULL")
     else:
-        met = told.join(few, "v")
-    met = met.filter((F.col("label") != F.col("lx")) & (100 * F.least("n_shingles", "nx") >= threshold * F.greatest("n_shingles", "nx")))
-    return met.select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+        met = told.join(few.drop("n"), "v")
+    return met.filter(possible).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
@@ -151,9 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) -> D
             yield pdf.loc[keep, ["a", "b"]]
 
     kind = pairs.schema["a"].dataType.simpleString()
-    involved = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    held = stored(texts.join(involved, "cls", "left_semi").dropDuplicates(["cls", "text"]), "texts")
-    both = pairs.join(held.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
+    both = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
     return both.sortWithinPartitions("a").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -177,24 +199,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # classes that share their smallest id, where ids repeat, are linked by that id already
     lists = stored(retained_lists(classes.select("cls", "n_shingles", "sketch")), "lists")
-    texts = docs.select(F.col(id_col).alias("cls"), F.col(text_col).cast("string").alias("text")).filter("cls IS NOT NULL")
-    links, labels, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        star = turn < STAR_ROUNDS
+    texts = docs.select(F.col(id_col).alias("cls"), F.col(text_col).cast("string").alias("text"))
+    for _ in range(PRUNINGS):
+        texts = stored(texts.join(lists.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls", "text"]), "texts")
+        lists = stored(candidate_lists(lists.drop("common"), texts, threshold, size), "candidates")
+    links, labels, tried, star = None, None, None, True
+    while True:
         pairs = pairs_between(lists, labels, star, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if star and labels is None:
-                break
-            if star:
-                continue
-            break
         found = stored(verified(stored(estimated(pairs, classes, k, ESTIMATE), "estimated"), texts, threshold, size), "links")
-        links = found if links is None else links.unionByName(found)
+        some = found.limit(1).count() > 0
+        if some:
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        if not star:
+            break
+        # centres are tried as long as they find links, then the rest is paired in full
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(links)
+        star = some
     table = classes.select("set_id", "n", "cls")
     if labels is not None:
         table = table.join(labels.withColumnRenamed("node", "cls"), "cls", "left")

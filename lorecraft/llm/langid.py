@@ -57,12 +57,12 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     docs = sampled(docs, lang_col, id_col, rows)
     words = docs.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
     words = words.groupBy("lang", "key").agg(F.count("*").alias("n"))
-    padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
-    grams = F.flatten(
-        F.array(*[F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, MAX_GRAM + 1)])
-    )
+    letters = words.select("lang", F.split(F.concat(F.lit("^"), F.col("key"), F.lit("$")), "").alias("c"))
+    places = lambda n: F.filter(F.sequence(F.lit(0), F.size("c")), lambda i: i + n <= F.size("c"))
+    own = lambda n: F.transform(places(n), lambda i: F.concat(*[F.get(F.col("c"), i + k) for k in range(n)]))
+    grams = F.flatten(F.array(*[own(n) for n in range(1, MAX_GRAM + 1)]))
     # n-grams come from distinct words, so that a few frequent words don't drown the others
-    counted = words.select("lang", F.explode(F.filter(grams, lambda g: F.length(g) > 0)).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
+    counted = letters.select("lang", F.explode(grams).alias("key")).filter("key <> ''").groupBy("lang", "key").agg(F.count("*").alias("n"))
     tables = stored(words.withColumn("size", F.lit(0)).unionByName(counted.withColumn("size", F.length("key"))), "counts")
     totals = tables.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()  # a row for each language and length
     sums = {(r["lang"], r["size"]): r["total"] for r in totals}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorecraft.plans import retrieval, review, tables, texts
+from lorecraft.plans import retrieval, review, streams, tables, texts
 
-_GROUPS = [texts.query, retrieval.query, review.query, tables.query]
+_GROUPS = [texts.query, retrieval.query, review.query, tables.query, streams.query]
 QUERIES = {name: f for group in _GROUPS for name, f in group.queries.items()}
 SQL = {name: sql for group in _GROUPS for name, sql in group.sql.items()}

@@ -11,6 +11,7 @@ round after round.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -18,7 +19,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ UNIGRAM, BPE = 1, 2
 REMEMBERED = 300_000
 #: Words of more code points are merged by a queue of pairs: a matrix would grow with the square.
 MATRIX_CHARS = 48
+#: Texts that a task holds the words of at once.
+SLICE = 64
 #: What an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x100000001B3)
@@ -249,23 +252,43 @@ def segment(m: Model, words: list[str]) -> dict[str, bytes]:
     return out
 
 
+def encoder(m: Model) -> Callable[[list[str]], list[np.ndarray]]:
+    """texts -> arrays of ids; each distinct word is segmented once."""
+    known: dict[str, bytes] = {}
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        cut = [_WORDS.findall((MARK * m.dummy_prefix + t if t else t).replace(" ", MARK)) for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        known.update(segment(m, list({w for words in cut for w in words if w not in known})))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in cut]
+
+    return run
+
+
+def decoded_text(m: Model, ids: np.ndarray) -> str:
+    text = b"".join(map(m.texts.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    return text[1:] if m.dummy_prefix and text[:1] == " " else text
+
+
+def slices(column: pa.Array) -> Iterator[list]:
+    for at in range(0, len(column), SLICE):
+        yield column.slice(at, SLICE).to_pylist()
+
+
 def encode(docs: DataFrame, text_col: str = "text", model: Callable[[], Model] = public_model) -> DataFrame:
     """All columns of docs, then ids array<int>; a null text gives null, an empty one no ids. `ids` of docs is replaced."""
     own = [c for c in docs.columns if c != "ids"]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, known = model(), {}
-        for texts in batches:
-            out = []
-            for at in range(0, len(texts), 64):
-                cut = [None if t is None else _WORDS.findall((MARK * m.dummy_prefix + t if t else t).replace(" ", MARK)) for t in texts.iloc[at : at + 64]]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known.update(segment(m, list({w for words in cut if words for w in words if w not in known})))
-                out += [None if words is None else np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in cut]
-            yield pd.Series(out, dtype=object)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode_ = encoder(model())
+        for column in batches:
+            out: list = []
+            for texts in slices(column):
+                out += [None if t is None else i for t, i in zip(texts, encode_([t or "" for t in texts]))]
+            yield pa.array(out, pa.list_(pa.int32()))
 
-    return docs.select(*own, F.pandas_udf(run, "array<int>")(F.col(text_col).cast("string")).alias("ids"))
+    return docs.select(*own, F.arrow_udf(run, "array<int>")(F.col(text_col).cast("string")).alias("ids"))
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", model: Callable[[], Model] = public_model) -> DataFrame:
@@ -275,30 +298,40 @@ def decode(docs: DataFrame, ids_col: str = "ids", model: Callable[[], Model] = p
     """
     own = [c for c in docs.columns if c != "decoded"]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model()
-        for all_ids in batches:
-            out = []
-            for ids in all_ids:
-                if ids is None:
-                    out.append(None)
-                    continue
-                text = b"".join([m.texts[i] for i in ids]).decode("utf-8", "replace")
-                out.append(text[1:] if m.dummy_prefix and text[:1] == " " else text)
-            yield pd.Series(out, dtype=object)
+        for column in batches:
+            yield pa.array([None if i is None else decoded_text(m, np.asarray(i, "<i4")) for ids in slices(column) for i in ids], pa.string())
+
+    return docs.select(*own, F.arrow_udf(run, "string")(ids_col).alias("decoded"))
+
 
-    return docs.select(*own, F.pandas_udf(run, "string")(ids_col).alias("decoded"))
+def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Callable[[], Model] = public_model) -> DataFrame:
+    """(id_col, n_ids, ids_crc32, decoded_sha256, round_trip) of every row: encoded, decoded and compared in one pass.
 
+    The checksum is over little-endian 32-bit ids. A null text has nulls and a false round_trip;
+    an empty one has no ids. Repeated rows and null ids are rows like others.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="Int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model()
+        encode_ = encoder(m)
+        for batch in batches:
+            rows: list = []
+            for texts in slices(batch.column(1)):
+                for text, ids in zip(texts, encode_([t or "" for t in texts])):
+                    if text is None:
+                        rows.append((None, None, None, False))
+                        continue
+                    again = decoded_text(m, ids)
+                    rows.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(again.encode("utf-8", "surrogatepass")).hexdigest(), again == text))
+            n, crc, sha, same = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
-    """Ids of every text and what they decode to: n_ids, their crc32, digest of the decoded text, and whether it is the text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    told = decode(encode(docs))
-    return told.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.pandas_udf(ids_crc32, "long")("ids").alias("ids_crc32"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
-    )
+    return round_trips(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

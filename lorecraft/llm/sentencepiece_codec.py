@@ -32,7 +32,7 @@ REMEMBERED = 300_000
 #: Words of more code points are merged by a queue of pairs: a matrix would grow with the square.
 MATRIX_CHARS = 48
 #: Texts that a task holds the words of at once.
-SLICE = 64
+SLICE = 1024
 #: What an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x100000001B3)
@@ -136,11 +136,10 @@ def probe(m: Model, codes: np.ndarray, hashes: tuple, row: np.ndarray, start: np
     at = np.minimum(np.searchsorted(m.keys, h), len(m.keys) - 1)
     hit = np.flatnonzero(m.keys[at] == h)
     ids = m.key_ids[at[hit]]
-    same = np.ones(len(hit), bool)
-    for k in range(m.longest):  # the text itself decides
-        inside = k < n[hit]
-        col = np.minimum(start[hit] + k, codes.shape[1] - 1)
-        same &= ~inside | (codes[row[hit], col] == m.codes[ids, k])
+    # the text itself decides
+    k = np.arange(m.longest)
+    own = codes[row[hit, None], np.minimum(start[hit, None] + k, codes.shape[1] - 1)]
+    same = ((own == m.codes[ids]) | (k >= n[hit, None])).all(1)
     found[ok[hit[same]]] = ids[same]
     return found
 
@@ -171,36 +170,45 @@ def viterbi(m: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def merged(m: Model, codes: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """(start, end, id or -1) of each row after merging the best adjacent pair, the leftmost of equals, until none is a piece."""
+def merged(m: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, end and id or -1 of the pieces of all rows, and where each row's pieces end.
+
+    The best adjacent pair that is a piece is merged, the leftmost of equals, until none is.
+    """
     w, n = codes.shape
-    hashes = prefixes(codes)
-    starts = np.tile(np.arange(n + 2), (w, 1))  # first places of the symbols, then n
-    starts[:, n + 1] = n
+    hashes, rows = prefixes(codes), np.arange(w)
+    starts = np.tile(np.minimum(np.arange(n + 2, dtype=np.int32), n), (w, 1))  # first places of the symbols, then n
     count = np.full(w, n)
-    active = np.arange(w) if n > 1 else np.empty(0, int)
-    while len(active):
-        most = int(count[active].max())
-        s = starts[active]
-        row, pair = np.nonzero(np.arange(most - 1)[None, :] < (count[active] - 1)[:, None])
-        score = np.full((len(active), most - 1), -np.inf)
-        ids = probe(m, codes, hashes, active[row], s[row, pair], s[row, pair + 2])
-        score[row, pair] = np.where(ids >= 0, m.scores[ids], -np.inf)
-        k = score.argmax(1)
-        live = score[np.arange(len(active)), k] > -np.inf
+
+    def scores(row: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        ids = probe(m, codes, hashes, row, starts[row, pair], starts[row, pair + 2])
+        return np.where(ids >= 0, m.scores[ids], -np.inf)
+
+    # the last column stands for pairs that don't exist
+    score = np.full((w, n), -np.inf, np.float32)
+    if n > 1:
+        row, pair = np.nonzero(np.ones((w, n - 1), bool))
+        score[row, pair] = scores(row, pair)
+    active = rows
+    col = np.arange(n + 1)[None, :]
+    while n > 1:
+        k = score[active].argmax(1)
+        live = score[active, k] > -np.inf
         active, k = active[live], k[live]
-        if len(active):
-            # drops the boundary inside the merged pair
-            col = np.arange(n + 1)[None, :]
-            starts[active, : n + 1] = np.where(col <= k[:, None], starts[active, : n + 1], starts[active, 1:])
-            count[active] -= 1
-            active = active[count[active] > 1]
-    row = np.repeat(np.arange(w), count)
-    sym = np.concatenate([np.arange(c) for c in count]) if w else np.empty(0, int)
-    ids = probe(m, codes, hashes, row, starts[row, sym], starts[row, sym + 1])
-    flat = list(zip(starts[row, sym].tolist(), starts[row, sym + 1].tolist(), ids.tolist()))
-    ends = np.cumsum(count)
-    return [flat[b - c : b] for b, c in zip(ends.tolist(), count.tolist())]
+        if not len(active):
+            break
+        # drops the boundary inside the merged pair; only the pairs on either side of it are new
+        starts[active, : n + 1] = np.where(col <= k[:, None], starts[active, : n + 1], starts[active, 1:])
+        score[active, : n - 1] = np.where(col[:, : n - 1] < k[:, None], score[active, : n - 1], score[active, 1:])
+        count[active] -= 1
+        score[active, k] = -np.inf
+        left, right = k > 0, k < count[active] - 1
+        score[active[left], k[left] - 1] = scores(active[left], k[left] - 1)
+        score[active[right], k[right]] = scores(active[right], k[right])
+    row = np.repeat(rows, count)
+    sym = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin, end = starts[row, sym], starts[row, sym + 1]
+    return begin, end, probe(m, codes, hashes, row, begin, end), np.cumsum(count)
 
 
 def merged_by_queue(m: Model, word: str) -> list[tuple[int, int, int]]:
@@ -235,23 +243,33 @@ def segment(m: Model, words: list[str]) -> dict[str, bytes]:
     for word in words:
         by_length.setdefault(len(word), []).append(word)
     for n, own in by_length.items():
-        if m.kind == BPE and n > MATRIX_CHARS:
-            cut = [merged_by_queue(m, w) for w in own]
+        if m.kind == BPE and n <= MATRIX_CHARS:
+            begin, end, ids, ends = merged(m, code_points(own))
+            data, at = ids.astype("<i4").tobytes(), 0
+            unknown = np.zeros(len(own), bool)
+            unknown[np.searchsorted(ends, np.flatnonzero(ids < 0), side="right")] = True
+            for word, odd, e in zip(own, unknown.tolist(), ends.tolist()):
+                out[word] = with_bytes(m, word, zip(begin[at:e].tolist(), end[at:e].tolist(), ids[at:e].tolist())) if odd else data[4 * at : 4 * e]
+                at = e
         else:
-            cut = (merged if m.kind == BPE else viterbi)(m, code_points(own))
-        for word, parts in zip(own, cut):
-            ids: list[int] = []
-            for a, b, i in parts:
-                if i >= 0:
-                    ids.append(i)
-                elif m.byte_fallback:
-                    ids += m.byte_ids[list(word[a:b].encode("utf-8", "surrogatepass"))].tolist()
-                else:
-                    ids.append(m.unknown)
-            out[word] = np.array(ids, "<i4").tobytes()
+            for word, parts in zip(own, [merged_by_queue(m, w) for w in own] if m.kind == BPE else viterbi(m, code_points(own))):
+                out[word] = with_bytes(m, word, parts)
     return out
 
 
+def with_bytes(m: Model, word: str, parts) -> bytes:
+    """The ids of parts, where what is no piece becomes its bytes or the unknown piece."""
+    ids: list[int] = []
+    for a, b, i in parts:
+        if i >= 0:
+            ids.append(i)
+        elif m.byte_fallback:
+            ids += m.byte_ids[list(word[a:b].encode("utf-8", "surrogatepass"))].tolist()
+        else:
+            ids.append(m.unknown)
+    return np.array(ids, "<i4").tobytes()
+
+
 def encoder(m: Model) -> Callable[[list[str]], list[np.ndarray]]:
     """texts -> arrays of ids; each distinct word is segmented once."""
     known: dict[str, bytes] = {}

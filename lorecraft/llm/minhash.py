@@ -146,7 +146,11 @@ def pairs_between(lists: DataFrame, labels: DataFrame | None, star: bool, thresh
         few = few.groupBy("v").agg(F.min_by(F.struct("x", "nx", "cx", "lx", "n"), central).alias("s")).select("v", "s.*")
         met = join_heavy(told.drop("n"), few, "v", "n", total).filter("x IS NOT NULL")
     else:
-        met = told.join(few.drop("n"), "v")
+        # a pair is taken in the first of the lists that both are in, so it is made once
+        own = stored(told.groupBy("cls").agg(F.array_sort(F.collect_list("v")).alias("lists")), "own")
+        told = told.join(own, "cls")
+        few = few.join(own.select(F.col("cls").alias("x"), F.col("lists").alias("lists_x")), "x").withColumnRenamed("v", "vx").drop("n")
+        met = told.join(few, (F.col("v") == F.col("vx")) & possible & (F.col("v") == F.array_min(F.array_intersect("lists", "lists_x"))))
     return met.filter(possible).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
 
 

@@ -89,7 +89,7 @@ def grams(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    han = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(HAN), F.lit(0)), ngrams))
+    han = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(HAN), F.lit(0)), lambda run: ngrams(run)))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     words = F.concat(F.regexp_extract_all(text, F.lit(LATIN), F.lit(0)), han)
     return F.filter(words, lambda w: ~F.array_contains(stop, w))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import bisect
 import math
-import re
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,31 +29,47 @@ END_ID = 1
 GROUP_PIECES = 20_000
 #: Chunks of text whose ids a task remembers.
 REMEMBERED = 400_000
+#: Texts that are encoded together.
+SLICE = 1024
 #: Bins that the local search tries to empty without success before it ends.
 PATIENCE = 3
 
-_GAPS = re.compile(r"[ \t\n\r]+")
+#: Marks after a word that are pieces of their own to the pre-tokenizer.
+_MARKS = ".,;:!?"
 
 
 def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> little-endian unsigned 32-bit ids, by a tokenizer file whose pre-tokenizer drops white space.
 
     A text is encoded in the chunks between white space, of which most are seen again and
-    again, and each distinct chunk is encoded once.
+    again. A new chunk of letters with marks after them is the word and the marks, which the
+    pre-tokenizer parts too, and the tokenizer lower-cases ASCII words anyway: each such word
+    and each other chunk is encoded once.
     """
+    # a task has one core: threads of the library would only wait for each other
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {"": b""}
 
+    def parts(chunk: str) -> tuple[str, str]:
+        word = chunk.rstrip(_MARKS)
+        if not word.isalpha():
+            return chunk, ""
+        return word.lower() if word.isascii() else word, chunk[len(word) :]
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
-        chunks = [_GAPS.split(t) for t in texts]
-        new = list({c for own in chunks for c in own if c not in known})
-        for c, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        cut = {c: parts(c) for c in {c for own in chunks for c in own} if c not in known}
+        new = list({p for two in cut.values() for p in two if p not in known})
+        for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[p] = array("I", e.ids).tobytes()
+        for c, (word, marks) in cut.items():
+            known[c] = known[word] + known[marks]
         return [b"".join(map(known.__getitem__, own)) for own in chunks]
 
     return encode
@@ -75,8 +92,8 @@ def token_pieces(
         for pdf in batches:
             rows = []
             texts = ["" if t is None else t for t in pdf["text"]]
-            for at in range(0, len(texts), 64):
-                for id_, ids in zip(pdf["id"].iloc[at : at + 64], encode(texts[at : at + 64])):
+            for at in range(0, len(texts), SLICE):
+                for id_, ids in zip(pdf["id"].iloc[at : at + SLICE], encode(texts[at : at + SLICE])):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]

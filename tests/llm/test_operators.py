@@ -182,6 +182,26 @@ def test_passages_against_brute_force(spark):
         assert r.end_word - r.start_word >= 50 and len(shingles[0] & shingles[1]) >= 0.8 * len(shingles[0] | shingles[1]) and r.other_id < r.doc_id
 
 
+def test_passages_inside_looser_stretches():
+    words = [f"w{x}" for x in np.random.default_rng(7).integers(0, 10**9, 400)]
+    other = list(words)
+    for i in [*range(47, 200, 48), *range(212, 400, 15)]:
+        other[i] = f"edit{i}"
+    known = minhash.WordHash()
+    hx, hy = (minhash.shingle_stream(" ".join(w), known) for w in (words, other))
+    alike = hx == hy
+
+    def similarity(i, j):
+        met = int(alike[i:j].sum())
+        return met / (2 * (j - i) - met)
+
+    longest = max((j - i, i, j) for i in range(len(hx)) for j in range(i + 46, len(hx) + 1) if alike[i] and alike[j - 1] and similarity(i, j) >= 0.8)
+    found = substring_dedup.passages(hx, hy, (0, len(hx) - 1, 0, len(hy) - 1), 50, 80)
+    assert similarity(0, len(hx)) < 0.8 and longest[0] > 180
+    assert (longest[1], longest[2] + 4) in {(s, e) for s, e, *_ in found}
+    assert all(similarity(s, e - 4) >= 0.8 for s, e, *_ in found)
+
+
 def test_planted_passage_is_cut(spark):
     rng = np.random.default_rng(3)
     own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))

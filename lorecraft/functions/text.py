@@ -28,6 +28,11 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def nfkc(text: Column) -> Column:
     """NFKC; rows of ASCII alone come through unchanged, as they are."""
     return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), _nfkc(text)).otherwise(text)
@@ -61,7 +66,9 @@ def _folded(text: Column, start: int, step) -> Column:
 
 def stable_token(text: Column) -> Column:
     """FNV-1a of 32 bits over characters, as eight hexadecimal digits four times."""
-    h = _folded(text, 2166136261, lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    # a character beyond the basic plane counts by its high surrogate
+    unit = lambda c: F.when(F.ascii(c) > 65535, F.shiftright(F.ascii(c) - 65536, 10) + 55296).otherwise(F.ascii(c)).cast("long")
+    h = _folded(text, 2166136261, lambda h, c: (h.bitwiseXOR(unit(c)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
     return F.repeat(F.lpad(F.lower(F.hex(h)), 8, "0"), 4)
 
 
@@ -90,14 +97,13 @@ def grams(text: Column) -> Column:
 
 def _words(text: Column) -> Column:
     han = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(HAN), F.lit(0)), lambda run: ngrams(run)))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     words = F.concat(F.regexp_extract_all(text, F.lit(LATIN), F.lit(0)), han)
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(STOP_WORDS))
 
 
 def tokens(text: Column) -> Column:
     """Bag of words: Latin words and Han bigrams as often as they occur, without stop words; text is normalised already."""
-    return _words(text)
+    return let(text, _words)
 
 
 def synonym_tags(text: Column) -> Column:
@@ -107,7 +113,7 @@ def synonym_tags(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Set of words and the tags of synonym groups that occur; text is normalised already."""
-    return F.array_distinct(F.concat(_words(text), synonym_tags(text)))
+    return let(text, lambda t: F.array_distinct(F.concat(_words(t), synonym_tags(t))))
 
 
 def token_similarity(a: Column, b: Column) -> Column:
@@ -143,9 +149,11 @@ def token_estimate(text: Column) -> Column:
     return (F.ceil(F.octet_length(text) / 2) + 16).cast("long")
 
 
-def needs_plan(text: Column) -> Column:
-    """Whether a text is long or has several headings or numbered lines."""
-    return (F.length(text) > 1200) | (F.size(F.regexp_extract_all(text, F.lit(r"(?m)^(?:#{1,6}\s+\S|\d+[.、)]\s*\S)"), F.lit(0))) > 1)
+def needs_plan(text: Column, heading_blocks: Column | None = None) -> Column:
+    """Whether a text is long, or has several heading blocks, or several headings or numbered lines."""
+    lines = F.regexp_extract_all(text, F.lit(r"(?m)(^#{1,6}\s+\S|^\s*\d+[.、)]\s*\S)"), F.lit(0))
+    blocks = F.lit(0) if heading_blocks is None else F.coalesce(heading_blocks, F.lit(0))
+    return (F.length(text) > 1200) | (blocks > 1) | (F.size(lines) > 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -164,7 +172,11 @@ def page_ranges(spec: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(spec, ","), pages))))
 
 
+# Words of each intent, in the order in which they are tried.
+INTENTS = [("citation", "引用|来源|依据|citation"), ("review", "复习|薄弱|review"), ("card", "卡片|制卡|保存|card"), ("discovery", "发现|推荐|探索")]
+
+
 def intent(text: Column) -> Column:
-    """The first of citation, review, card, discovery whose words occur, else explain."""
-    rules = [("citation", r"(?i)cite|citation|source|引用|出处"), ("review", r"(?i)review|quiz|复习|测验"), ("card", r"(?i)card|卡片"), ("discovery", r"(?i)discover|explore|推荐|发现")]
-    return reduce(lambda c, r: c.when(F.rlike(text, F.lit(r[1])), r[0]), rules, F).otherwise("explain")
+    """The first intent whose words occur, whatever their case, else explain."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(lambda c, r: c.when(F.rlike(low, F.lit(r[1])), r[0]), INTENTS, F).otherwise("explain")

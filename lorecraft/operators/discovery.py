@@ -117,7 +117,12 @@ def funnel(events: DataFrame) -> DataFrame:
 
 
 def feedback_status(candidates: DataFrame, feedback: DataFrame) -> DataFrame:
-    """(candidate, status): what the latest feedback makes of a candidate."""
+    """(candidate, status) of candidates(candidate, status): what the latest feedback makes of each.
+
+    A dismissed one is dismissed; one that is liked is available, unless it was opened or saved;
+    any other feedback is applied and takes it off.
+    """
     last = feedback.groupBy("candidate").agg(F.max_by("action", F.struct("ms", "id")).alias("action"))
-    status = F.when(F.col("action").isNull(), "active").when(F.col("action").isin("dismiss", "exclude"), "dismissed").when(F.col("action") == "less", "feedback_applied").otherwise("liked")
+    liked = F.when(F.col("status").isin("opened", "saved"), F.col("status")).otherwise("available")
+    status = F.when(F.col("action").isNull(), F.col("status")).when(F.col("action") == "dismiss", "dismissed").when(F.col("action") == "like", liked).otherwise("feedback_applied")
     return candidates.join(last, "candidate", "left").select("candidate", status.alias("status"))

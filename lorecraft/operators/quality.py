@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The parts a card may have.
-KINDS = ["concept", "procedure", "comparison", "application"]
-GENERIC = ["all of the above", "none of the above", "以上都是", "以上都不是"]
+# What the parts of a card may be, and phrases that say nothing.
+KINDS = ["concept", "mechanism", "procedure", "fact"]
+OBJECTIVE = "^能(?:解释|区分|判断|完成|识别).+"
+ORIGINS = ["authored", "source"]
+EXAMPLE_TYPES = ["example", "contrast", "steps", "illustration"]
+EXERCISE_TYPES = ["choice", "recall"]
+GENERIC = "只(?:把)?(?:背|记住|把名词背)|先收藏以后再说|以后再说|用自己的话解释它|最该先抓什么|先抓住最有用的那一点"
 MAX_TITLE, MAX_EXPLANATION = 80, 320
 
 
+def present(c: str | Column) -> Column:
+    return F.trim(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))) != ""
+
+
+def generic(c: str | Column) -> Column:
+    return F.rlike(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), F.lit(GENERIC))
+
+
 def issues(candidates: DataFrame, key: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
     """(key, code, field) of the rules {code: (field, fails)} that a candidate fails, in one pass over the table."""
     found = F.array_compact(F.array(*[F.when(F.coalesce(fails, F.lit(True)), F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"))) for code, (field, fails) in rules.items()]))
@@ -20,28 +30,36 @@ def issues(candidates: DataFrame, key: str, rules: dict[str, tuple[str, Column]]
 
 
 def structural(candidates: DataFrame, key: str) -> DataFrame:
-    """Title, objective, summary, kind, answer, rubric and length of the explanation."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    """Issues of title, objective, summary, kind, example, exercise and answer of a candidate's fields."""
+    has_example = present("example_text")
     return issues(
         candidates, key,
         {
-            "title_missing": ("title", blank("title")), "title_long": ("title", F.length("title") > MAX_TITLE), "objective_prefix": ("objective", ~F.rlike("objective", F.lit("^(能|able to )"))),
-            "summary_missing": ("summary", blank("summary")), "kind_unknown": ("kind", ~F.col("kind").isin(KINDS)), "answer_missing": ("answer", blank("answer")),
-            "rubric_missing": ("rubric", F.size(F.coalesce("rubric", F.array().cast("array<string>"))) == 0), "explanation_long": ("explanation", F.length("explanation") > MAX_EXPLANATION),
+            "title": ("title", ~present("title") | (F.length("title") > MAX_TITLE)), "objective": ("objective", ~F.rlike("objective", F.lit(OBJECTIVE))),
+            "explanation": ("summary", ~present("summary") | generic("summary")), "knowledge_type": ("kind", ~F.col("kind").isin(KINDS)),
+            "example": ("example_text", ~F.col("kind").eqNullSafe("fact") & ~has_example),
+            "example_origin_missing": ("example_origin", has_example & ~F.coalesce(F.col("example_origin").isin(ORIGINS), F.lit(False))),
+            "example_type": ("example_type", has_example & ~F.coalesce(F.col("example_type").isin(EXAMPLE_TYPES), F.lit(False))),
+            "exercise": ("question", ~F.coalesce(F.col("exercise_type").isin(EXERCISE_TYPES), F.lit(False)) | ~present("question") | generic("question")),
+            "answer": ("answer", ~present("answer") | ~present("explanation") | (F.size(F.coalesce("rubric", F.array().cast("array<string>"))) == 0) | ~F.forall("rubric", present)),
+            "answer_explanation_long": ("explanation", F.coalesce(present("explanation") & (F.length("explanation") > MAX_EXPLANATION), F.lit(False))),
         },
     )
 
 
 def choice(candidates: DataFrame, key: str) -> DataFrame:
-    """Two to five distinct options that say something, a key that is one of them and equals the answer."""
-    trimmed = F.transform("options", lambda o: F.lower(F.trim(o)))
-    generic = reduce(lambda a, b: a | b, [F.array_contains(trimmed, g) for g in GENERIC])
-    at = F.get("options", F.col("correct_index"))
+    """Issues of choice questions: options, the key against the answer, and misconceptions of the wrong options."""
+    n, key_at = F.size("options"), F.col("correct_index")
+    at = F.get("options", key_at)
+    wrong = F.transform("misconceptions", lambda m, i: (i != key_at) & ~present(m))
+    fits = F.coalesce(F.size("misconceptions") == n, F.lit(False))
     return issues(
-        candidates, key,
+        candidates.filter("exercise_type = 'choice'"), key,
         {
-            "option_count": ("options", ~F.size("options").between(2, 5)), "option_repeated": ("options", F.size(F.array_distinct(trimmed)) < F.size("options")),
-            "option_generic": ("options", generic), "correct_index": ("correct_index", at.isNull()), "answer_differs": ("answer", at.isNotNull() & (at != F.col("answer"))),
+            "options": ("options", ~n.between(2, 5) | ~F.forall("options", present) | F.exists("options", generic) | (F.size(F.array_distinct(F.transform("options", lambda o: F.trim(o)))) != n)),
+            "answer_consistency": ("correct_index", (key_at < 0) | (key_at >= n) | ~F.col("answer").eqNullSafe(at)),
+            "misconceptions": ("misconceptions", ~fits | F.exists(wrong, lambda w: w)),
+            "correct_option_misconception": ("misconceptions", F.coalesce(present(F.get("misconceptions", key_at)), F.lit(False))),
         },
     )
 

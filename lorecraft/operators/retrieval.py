@@ -29,23 +29,50 @@ def term_sets(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return told.select(key, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
 
 
+#: Queries whose words can all be parts of longer ones, which are looked for in every text.
+MAX_LOOSE = 10_000
+
+
 def overlap(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, query: Column) -> DataFrame:
-    """(query_id, id, score, matched, exact) of all pairs with a common term.
+    """(query_id, id, score, matched, exact) of all pairs with a common term or an exact phrase.
 
     hits / sqrt(nq * min(nd, 4 nq)), where a synonym tag counts twice; 0.9 at least where the
-    whole query occurs; 1 at most. A query that occurs in a text shares its terms with it.
+    whole query occurs; 1 at most. A text that holds the whole query has all its inner terms,
+    those that are not cut off at either end; so texts are only read again for pairs that match
+    that many. Queries without inner terms, MAX_LOOSE at most, are held against all texts.
     """
     q, c = term_sets(queries, "query_id", query), term_sets(corpus, id_col, text)
+    needle = queries.select("query_id", F.trim(query).alias("_q"), X.terms(query).alias("_t"))
+    inner = X.terms(F.regexp_replace("_q", r"^[a-z0-9_]+|[a-z0-9_]+$", " "))
+    needle = needle.select("query_id", "_q", F.size("_t").alias("nq"), F.size(inner).alias("inner")).filter(F.length("_q") >= 2)
     weight = F.when(F.startswith("term", F.lit("synonym_")), 2).otherwise(1)
     both = q.withColumnRenamed("n_terms", "nq").join(c.withColumnRenamed("n_terms", "nd"), "term")
     hits = both.groupBy("query_id", id_col, "nq", "nd").agg(F.sum(weight).alias("hits"), F.count("*").alias("matched"))
-    # texts come back last, only for pairs that met
-    needle = queries.select("query_id", F.trim(query).alias("_q"))
-    hits = hits.join(needle, "query_id").join(corpus.select(id_col, text.alias("_text")), id_col)
-    exact = (F.length("_q") >= 2) & F.contains("_text", F.col("_q"))
+    hits = hits.join(needle.select("query_id", "_q", "inner"), "query_id", "left")
+    full = F.coalesce(F.col("matched") >= F.col("inner"), F.lit(False))
+    found = hits.filter(full).join(corpus.select(id_col, text.alias("_text")), id_col).withColumn("exact", F.contains("_text", F.col("_q"))).drop("_text")
+    hits = found.unionByName(hits.filter(~full).withColumn("exact", F.lit(False)))
     raw = F.col("hits") / F.sqrt(F.col("nq") * F.least(F.col("nd"), F.col("nq") * 4))
-    score = F.least(F.lit(1.0), F.greatest(F.when(exact, 0.9).otherwise(0.0), raw))
-    return hits.select("query_id", id_col, F.round(score, 6).alias("score"), "matched", exact.alias("exact"))
+    score = F.least(F.lit(1.0), F.greatest(F.when(F.col("exact"), 0.9).otherwise(0.0), raw))
+    told = hits.select("query_id", id_col, F.round(score, 6).alias("score"), "matched", "exact")
+    loose = needle.filter("inner = 0 AND nq > 0").select("query_id", "_q")
+    n = loose.limit(MAX_LOOSE + 1).count()
+    if n > MAX_LOOSE:
+        raise ValueError(f"more than {MAX_LOOSE} queries have no inner term")
+    if not n:
+        return told
+    texts = corpus.select(id_col, text.alias("_text")).filter(F.size(X.terms(F.col("_text"))) > 0)
+    exact = texts.join(F.broadcast(loose), F.contains("_text", F.col("_q"))).select("query_id", id_col)
+    alone = exact.join(told.select("query_id", id_col), ["query_id", id_col], "left_anti")
+    return told.unionByName(alone.select("query_id", id_col, F.lit(0.9).alias("score"), F.lit(0).cast("long").alias("matched"), F.lit(True).alias("exact")))
+
+
+def evidence_status(queries: DataFrame, hits: DataFrame, documents: DataFrame, least: float = OVERLAP_LEAST) -> DataFrame:
+    """(query_id, status): whether any hit reaches the threshold, else whether there is any document."""
+    found = hits.filter(F.col("score") >= least).select("query_id").distinct().withColumn("_hit", F.lit(True))
+    some = documents.limit(1).agg((F.count("*") > 0).alias("_some"))  # one row
+    status = F.when(F.col("_hit"), "related_found").when(F.col("_some"), "no_related_sources").otherwise("no_personal_sources")
+    return queries.join(found, "query_id", "left").crossJoin(F.broadcast(some)).select("query_id", status.alias("status"))
 
 
 def postings(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:

@@ -121,12 +121,14 @@ def ds20(spark, d):
 
 
 @query("DS24_feedback_status", B.RV_SQL + """, f AS (SELECT exercise AS candidate, arg_max(CASE event_type WHEN 'click' THEN 'like' WHEN 'view' THEN 'less' WHEN 'error' THEN 'dismiss' ELSE 'exclude' END, (ms, id)) AS action FROM rv WHERE event_type <> 'purchase' AND learner % 5 = 0 GROUP BY exercise)
-SELECT c.exercise AS candidate, CASE WHEN action IS NULL THEN 'active' WHEN action IN ('dismiss', 'exclude') THEN 'dismissed' WHEN action = 'less' THEN 'feedback_applied' ELSE 'liked' END AS status FROM (SELECT DISTINCT exercise FROM rv) c LEFT JOIN f ON f.candidate = c.exercise""")
+SELECT candidate, CASE WHEN action = 'dismiss' THEN 'dismissed' WHEN action IN ('less', 'exclude') THEN 'feedback_applied' WHEN action = 'like' AND status = 'active' THEN 'available' ELSE status END AS status
+FROM (SELECT DISTINCT exercise AS candidate, ['saved', 'opened', 'available', 'available', 'active'][exercise % 5 + 1] AS status FROM rv) c LEFT JOIN f USING (candidate)""")
 def ds24(spark, d):
     rv, kind = B.review_events(spark, d), F.col("event_type")
     action = F.when(kind == "click", "like").when(kind == "view", "less").when(kind == "error", "dismiss").otherwise("exclude")
     feedback = rv.filter((kind != "purchase") & (F.col("learner") % 5 == 0)).select(F.col("exercise").alias("candidate"), action.alias("action"), "ms", "id")
-    return D.feedback_status(rv.select(F.col("exercise").alias("candidate")).distinct(), feedback)
+    status = F.get(F.array(*[F.lit(x) for x in ("saved", "opened", "available", "available", "active")]), F.col("candidate") % 5)
+    return D.feedback_status(rv.select(F.col("exercise").alias("candidate")).distinct().withColumn("status", status), feedback)
 
 
 @query("DS25_funnel", B.RV_SQL + "SELECT exercise AS candidate, count(*) FILTER (WHERE event_type = 'view') AS exposed, count(*) FILTER (WHERE event_type = 'click') AS opened, count(*) FILTER (WHERE event_type = 'purchase') AS saved, round(count(*) FILTER (WHERE event_type = 'click') / nullif(count(*) FILTER (WHERE event_type = 'view'), 0), 6) AS open_rate FROM rv GROUP BY exercise")

@@ -131,11 +131,9 @@ def rt13(spark, d):
     return hits.select("query_id", "doc_id", "rank", F.round(100 * F.col("score")).cast("long").alias("percent"))
 
 
-@query("RT15_evidence_status", _OVER + """SELECT b.item_id AS query_id, CASE WHEN max(score) >= 0.5 THEN 'related_found' WHEN count(score) > 0 THEN 'no_related_sources' ELSE 'no_personal_sources' END AS status FROM benchmark b LEFT JOIN over ON over.query_id = b.item_id GROUP BY b.item_id""")
+@query("RT15_evidence_status", _OVER + """SELECT b.item_id AS query_id, CASE WHEN max(score) >= 0.18 THEN 'related_found' WHEN (SELECT count(*) FROM documents) > 0 THEN 'no_related_sources' ELSE 'no_personal_sources' END AS status FROM benchmark b LEFT JOIN over ON over.query_id = b.item_id GROUP BY b.item_id""")
 def rt15(spark, d):
-    best = overlap(spark, d).groupBy("query_id").agg(F.max("score").alias("best"))
-    status = F.when(F.col("best") >= 0.5, "related_found").when(F.col("best").isNotNull(), "no_related_sources").otherwise("no_personal_sources")
-    return B.queries(spark, d).join(best, "query_id", "left").select("query_id", status.alias("status"))
+    return R.evidence_status(B.queries(spark, d), overlap(spark, d), B.documents(spark, d))
 
 
 @query("RT16_linked_only", _OVER + "SELECT query_id, doc_id, score FROM over WHERE score >= 0.18 AND doc_id IN (SELECT doc_id FROM labels) AND doc_id <> query_id")

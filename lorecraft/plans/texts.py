@@ -31,7 +31,7 @@ def semantic(c: str) -> str:
     return _SEM.format(f"substr(trim(regexp_replace({c}, '\\s+', ' ', 'g')), 1, 600)")
 
 
-@query("FN5_stable_token", """SELECT item_id, repeat(lpad(lower(to_hex(list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT))), 8, '0'), 4) AS token FROM benchmark""")
+@query("FN5_stable_token", """SELECT item_id, repeat(lpad(lower(to_hex(list_reduce(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN 55296 + (unicode(c) - 65536) // 1024 ELSE unicode(c) END::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT))), 8, '0'), 4) AS token FROM benchmark""")
 def fn5(spark, d):
     return B.table(spark, d, "benchmark").select("item_id", X.stable_token(F.col("text")).alias("token"))
 
@@ -47,9 +47,9 @@ def fn4(spark, d):
     return own.select("source", X.topic_id(X.topic_label(F.col("source"))).alias("topic_id"))
 
 
-@query("FN2_clean_text", "SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 200) AS cleaned FROM documents WHERE lang = 'en'")
+@query("FN2_clean_text", "SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 200) AS cleaned FROM documents")
 def fn2(spark, d):
-    return B.documents(spark, d).filter("lang = 'en'").select("doc_id", X.clean_text(F.col("text"), 200).alias("cleaned"))
+    return B.documents(spark, d).select("doc_id", X.clean_text(F.col("text"), 200).alias("cleaned"))
 
 
 @query("FN3_semantic_text", f"SELECT doc_id, {semantic('text')} AS semantic FROM documents WHERE lang = 'en'")
@@ -105,13 +105,13 @@ def fn26(spark, d):
     return B.table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(X.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query("FN30_intent", """SELECT CASE WHEN regexp_matches(text, '(?i)cite|citation|source|引用|出处') THEN 'citation' WHEN regexp_matches(text, '(?i)review|quiz|复习|测验') THEN 'review'
-WHEN regexp_matches(text, '(?i)card|卡片') THEN 'card' WHEN regexp_matches(text, '(?i)discover|explore|推荐|发现') THEN 'discovery' ELSE 'explain' END AS intent, count(*) AS messages FROM conversations GROUP BY 1""")
+@query("FN30_intent", """SELECT CASE WHEN regexp_matches(lower(text), '引用|来源|依据|citation') THEN 'citation' WHEN regexp_matches(lower(text), '复习|薄弱|review') THEN 'review'
+WHEN regexp_matches(lower(text), '卡片|制卡|保存|card') THEN 'card' WHEN regexp_matches(lower(text), '发现|推荐|探索') THEN 'discovery' ELSE 'explain' END AS intent, count(*) AS messages FROM conversations GROUP BY 1""")
 def fn30(spark, d):
     return B.table(spark, d, "conversations").groupBy(X.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("messages"))
 
 
-@query("FN33_needs_plan", "SELECT doc_id, length(text) > 1200 OR len(regexp_extract_all(text, '(?m)^(?:#{1,6}\\s+\\S|\\d+[.、)]\\s*\\S)')) > 1 AS needs_plan FROM documents")
+@query("FN33_needs_plan", "SELECT doc_id, length(text) > 1200 OR len(regexp_extract_all(text, '(?m)(?:^#{1,6}\\s+\\S|^\\s*\\d+[.、)]\\s*\\S)')) > 1 AS needs_plan FROM documents")
 def fn33(spark, d):
     return B.documents(spark, d).select("doc_id", X.needs_plan(F.col("text")).alias("needs_plan"))
 

@@ -188,3 +188,34 @@ def nth_occurrence(text: Column, needle: Column, k: int) -> Column:
     """Place (from 0) of the k-th occurrence, counted with overlaps; -1 where there are fewer."""
     places = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0), lambda at, i: F.when(at < 0, at).otherwise(F.coalesce(F.nullif(F.call_function("locate", needle, text, at + 1), F.lit(0)), F.lit(-1))))
     return F.when(places < 0, -1).otherwise(places - 1)
+
+
+def hybrid(lexical: DataFrame, dense_: DataFrame, entries: DataFrame, id_col: str, limit: int = 5, caps: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(query_id, id, score, lexical_score, dense_score, rank): fused ranks, capped for each card and each document.
+
+    entries(id, type, owner): a card is shown caps[0] times, a document caps[1] times; the rest
+    moves up until limit. Both branches are cut by their thresholds before.
+    """
+    told = fused(lexical, dense_, id_col).join(entries.select(id_col, "type", "owner"), id_col)
+    order = [F.col("score").desc(), F.col(id_col)]
+    place = F.row_number().over(Window.partitionBy("query_id", "type", "owner").orderBy(*order))
+    capped = told.withColumn("_n", place).filter(F.col("_n") <= F.when(F.col("type") == "card", caps[0]).otherwise(caps[1]))
+    return top(capped, ["query_id"], order, limit).drop("_n", "type", "owner")
+
+
+def revalidated(hits: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
+    """Hits whose entry is still there as it was when it was scored: same id, version and text."""
+    return hits.join(live.select(*keys), keys, "left_semi")
+
+
+def numbered_references(references: DataFrame, by: list[str], key: str, order: str, most: int = 20) -> DataFrame:
+    """Distinct references of each turn as S1 to Sn, in order of their first use."""
+    first = references.groupBy(*by, key).agg(F.min(order).alias("_first"))
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("_first", key))
+    return first.withColumn("_n", n).filter(F.col("_n") <= most).select(*by, key, F.concat(F.lit("S"), F.col("_n").cast("string")).alias("label"))
+
+
+def mixed(evidence: DataFrame, cards: DataFrame, least: float = OVERLAP_LEAST, limit: int = 5) -> DataFrame:
+    """(query_id, kind, id, score, rank): documents and cards of one query together, best first."""
+    part = lambda d, kind: d.filter(F.col("score") >= least).select("query_id", F.lit(kind).alias("kind"), "id", "score")
+    return top(part(evidence, "document").unionByName(part(cards, "card")), ["query_id"], [F.col("score").desc(), "kind", "id"], limit)

@@ -120,9 +120,8 @@ def day_state(answers: DataFrame) -> DataFrame:
 
 
 def daily_goal(value: Column) -> Column:
-    """A goal from 1 to 20; 3 where there is none or 0."""
-    given = F.nullif(F.floor(value), F.lit(0))
-    return F.when(given.isNull(), F.lit(3)).otherwise(F.greatest(F.lit(1), F.least(F.lit(20), given))).cast("int")
+    """A goal from 1 to 20; 3 where there is none."""
+    return F.when(value.isNull(), F.lit(3)).otherwise(F.greatest(F.lit(1), F.least(F.lit(20), F.floor(value)))).cast("int")
 
 
 def overview(queue: DataFrame, days: DataFrame, learners: DataFrame, day: str) -> DataFrame:

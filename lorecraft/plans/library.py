@@ -57,7 +57,7 @@ def rv30(spark, d):
     return L.released(cards(spark, d), NOW_MS)
 
 
-@query("RV15_daily_goal", _RV + f"""SELECT learner, count(*) AS answered, greatest(1, least(20, coalesce(nullif(CASE WHEN learner % 7 = 0 THEN 0 ELSE learner % 30 END, 0), 3)))::INT AS goal, count(*) >= greatest(1, least(20, coalesce(nullif(CASE WHEN learner % 7 = 0 THEN 0 ELSE learner % 30 END, 0), 3))) AS complete FROM rv WHERE strftime(answered_at, '%Y-%m-%d') = '{DAY}' GROUP BY learner""")
+@query("RV15_daily_goal", _RV + f"""SELECT learner, count(*) AS answered, CASE WHEN learner % 7 = 0 THEN 3 ELSE greatest(1, least(20, learner % 30)) END::INT AS goal, count(*) >= CASE WHEN learner % 7 = 0 THEN 3 ELSE greatest(1, least(20, learner % 30)) END AS complete FROM rv WHERE strftime(answered_at, '%Y-%m-%d') = '{DAY}' GROUP BY learner""")
 def rv15(spark, d):
     own = B.review_events(spark, d).filter(F.date_format("answered_at", "yyyy-MM-dd") == DAY).groupBy("learner").agg(F.count("*").alias("answered"))
     goal = R.daily_goal(F.when(F.col("learner") % 7 != 0, F.col("learner") % 30))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorecraft.plans import discovery, library, quality, retrieval, review, scalars, streams, tables, texts
+from lorecraft.plans import discovery, library, quality, retrieval, review, scalars, streams, structure, tables, texts
 
-_GROUPS = [texts.query, retrieval.query, review.query, tables.query, streams.query, discovery.query, quality.query, scalars.query, library.query]
+_GROUPS = [texts.query, retrieval.query, review.query, tables.query, streams.query, discovery.query, quality.query, scalars.query, library.query, structure.query]
 QUERIES = {name: f for group in _GROUPS for name, f in group.queries.items()}
 SQL = {name: sql for group in _GROUPS for name, sql in group.sql.items()}

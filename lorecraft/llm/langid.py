@@ -6,19 +6,15 @@ unknown too. The counts come from Spark aggregations over labelled rows; the tab
 broadcast to score have a fixed bound.
 """
 
-from __future__ import annotations
-
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import stored
 
@@ -29,10 +25,13 @@ MAX_GRAM = 4
 UNDECIDED = "und"
 #: Confidence: the mean log-odds of a word is counted for so many words at most.
 SCORE_WORDS = 20
-#: Words that a task remembers with their scores.
-REMEMBERED = 400_000
+#: Chunks of text that a task remembers with their scores, and bytes of the longest one of them.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 100
+#: Texts, and words or chunks, that are scored together.
+SLICE, SLICE_WORDS = 512, 16_384
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words, as in the training query.
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def sampled(labelled: DataFrame, lang_col: str, id_col: str, rows: int) -> DataFrame:
@@ -84,7 +83,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     return model
 
 
-def word_scores(model: dict, word: str) -> np.ndarray | None:
+def word_scores(model: dict, word: str) -> 'np.ndarray | None':
     """Log scores of a word by language, the best 0; None where not even a letter is known."""
     known = model[0].get(word)
     if known is not None:
@@ -98,35 +97,132 @@ def word_scores(model: dict, word: str) -> np.ndarray | None:
     return None
 
 
+def gram_keys(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit key for the n-gram of `size` code points that begins at each place."""
+    n = max(0, len(codes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        # three code points fit exactly; the fourth is mixed in
+        out = out * np.uint64(1 << 21 if k < 3 else 0x9E3779B97F4A7C15) + codes[k : k + n]
+    return out
+
+
+class WordScores:
+    """The model as arrays, which score many words together; the same values as word_scores."""
+
+    def __init__(self, model: dict):
+        self.langs = model["langs"]
+        width = len(self.langs)
+        self.row = {w: i for i, w in enumerate(model[0])}
+        self.words = np.array([*model[0].values(), np.zeros(width)], np.float64).reshape(-1, width)
+        self.grams = {}
+        for size in range(1, MAX_GRAM + 1):
+            keys = np.array([gram_keys(code_points(g), size)[0] for g in model[size]], np.uint64)
+            order = np.argsort(keys)
+            self.grams[size] = keys[order], np.array(list(model[size].values()), np.float64).reshape(-1, width)[order]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word; zeros where not even a letter is known."""
+        rows = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
+        out = self.words[rows]
+        unseen = np.flatnonzero(rows < 0)
+        for at in range(0, len(unseen), SLICE_WORDS):
+            own = unseen[at : at + SLICE_WORDS]
+            out[own] = self.backed_off([words[i] for i in own.tolist()])
+        return out
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), len(self.langs)))
+        codes = code_points("".join(f"^{w}$" for w in words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        todo = np.ones(len(words), bool)
+        for size in range(MAX_GRAM, 0, -1):
+            known, scores = self.grams[size]
+            if not len(known) or len(codes) < size:
+                continue
+            keys = gram_keys(codes, size)
+            own = word[: len(keys)]
+            at = np.searchsorted(known, keys)
+            hit = (known[np.minimum(at, len(known) - 1)] == keys) & todo[own] & (np.arange(len(keys)) + size <= ends[own])
+            of, at = own[hit], at[hit]
+            if not len(of):
+                continue
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            total = np.add.reduceat(scores[at], starts, axis=0)
+            out[of[starts]] = total - total.max(axis=1, keepdims=True)
+            todo[of[starts]] = False
+        return out
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+class ChunkScores:
+    """Sums over texts: chunks between white space are scored once each, the sums of their words' scores and their number."""
+
+    def __init__(self, model: dict):
+        self.scores = WordScores(model)
+        self.width = len(model["langs"]) + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.table = np.zeros((0, self.width))
+
+    def learn(self, new: list[bytes]) -> None:
+        chunks = b" ".join(new).decode("utf-8", "replace").lower().split(" ")
+        words, counts = [], np.zeros(len(new), np.int64)
+        for i, chunk in enumerate(chunks):
+            own = [chunk] if chunk.isalpha() else LETTERS.findall(chunk)
+            counts[i] = len(own)
+            words += own
+        rows = np.zeros((len(new), self.width))
+        some = np.flatnonzero(counts)
+        if len(some):
+            rows[some, :-1] = np.add.reduceat(self.scores.of(words), (np.cumsum(counts) - counts)[some], axis=0)
+        rows[:, -1] = counts
+        first = len(self.table)
+        self.row.update(zip(new, range(first, first + len(new))))
+        self.table = np.concatenate([self.table, rows])
+
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """The sum of the rows of all chunks of each text; white space never lies inside a word."""
+        chunks = [t.split() for t in texts]
+        if len(self.row) > REMEMBERED:
+            self.forget()
+        new = set().union(*chunks) - self.row.keys()
+        if new:
+            self.learn(list(new))
+        out = np.zeros((len(texts), self.width))
+        for i, own in enumerate(chunks):
+            rows = np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))
+            for at in range(0, len(rows), SLICE_WORDS):
+                out[i] += self.table[rows[at : at + SLICE_WORDS]].sum(axis=0)
+        for chunk in [c for c in new if len(c) > REMEMBERED_BYTES]:
+            del self.row[chunk]
+        return out
+
+
 def scorer(broadcast) -> callable:
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = broadcast.value
-        langs, remembered = model["langs"], {}
-        none = np.zeros(len(langs), np.float32)
-
-        def of(word: str) -> np.ndarray:
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            s = word_scores(model, word)
-            remembered[word] = s = none if s is None else s
-            return s
-
-        for texts in batches:
-            out = []
-            for text in texts:
-                words = LETTERS.findall(text.lower()) if text is not None else []
-                if not words or not langs:
-                    out.append((UNDECIDED, 0.0))
-                    continue
-                counts = Counter(words)
-                total = np.zeros(len(langs))
-                for word, n in counts.items():
-                    s = remembered.get(word)
-                    total += n * (of(word) if s is None else s)
-                best = int(total.argmax())
-                odds = (total - total[best]) * (min(len(words), SCORE_WORDS) / len(words))
-                out.append((langs[best], float(1 / np.exp(odds).sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        chunks = ChunkScores(broadcast.value)
+        langs = broadcast.value["langs"]
+        for column in columns:
+            parts = [np.zeros((0, len(langs) + 1))]
+            for at in range(0, len(column), SLICE):
+                parts.append(chunks.totals([t.as_py() or b"" for t in column.slice(at, SLICE)]))
+            total = np.concatenate(parts)
+            n = total[:, -1]
+            names, score = pa.array([UNDECIDED] * len(column), pa.string()), np.zeros(len(column))
+            if langs:
+                best = total[:, :-1].argmax(axis=1)
+                odds = total[:, :-1] - total[np.arange(len(column)), best][:, None]
+                score = np.where(n > 0, 1 / np.exp(odds * (np.minimum(n, SCORE_WORDS) / np.maximum(n, 1))[:, None]).sum(axis=1), 0.0)
+                names = pa.array(np.where(n > 0, np.array(langs, object)[best], UNDECIDED), pa.string())
+            yield pa.StructArray.from_arrays([names, pa.array(score)], ["lang_pred", "score"])
 
     return score
 
@@ -141,9 +237,9 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    shape = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    told = F.pandas_udf(scorer(held), shape)
-    return docs.select(*own, told(F.col(text_col).cast("string")).alias("_told")).select(*own, F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))
+    told = F.arrow_udf(scorer(held), "lang_pred string, score double")
+    scored = docs.select(*own, told(F.col(text_col).cast("string").cast("binary")).alias("_told"))
+    return scored.select(*own, F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

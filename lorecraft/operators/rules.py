@@ -275,3 +275,94 @@ def usable_citations(citations: DataFrame, sources: DataFrame, card: str, most:
     told = citations.join(sources.filter("status = 'available'").drop("status").withColumnRenamed("version", "_v"), "doc_id")
     own = told.filter((F.col("_v") == F.col("version")) & (F.substring(F.col("content"), F.col("start") + 1, F.length("quote")) == F.col("quote")))
     return first_rows(own, [card], ["citation"], most)
+
+
+# ---- cards, citations and conversations
+
+# What citations may be about and come from, fields of a summary and phases of practice.
+CITED_CLAIMS = ["summary", "analogy", "mantra", "question", "card", "exercise", "boundaries", "example"]
+CITED_TYPES = ["text", "webpage", "pdf", "docx"]
+COLOR = "^#[0-9A-Fa-f]{6}$"
+MAX_CITED, MAX_CITED_LINKED = 8, 32
+
+
+def clean_card(cards: DataFrame, color: str) -> DataFrame:
+    """cards with texts squeezed and cut, a valid colour, mastery from 0 to 5, counts from 0 and a day."""
+    from lorecraft.operators import scalars as V
+
+    text = lambda c, n=None: V.squeezed(F.col(c)) if n is None else F.substring(V.squeezed(F.col(c)), 1, n)
+    key = F.substring(F.regexp_replace(V.squeezed(F.col("id").cast("string")), "[^A-Za-z0-9_-]", "_"), 1, 128)
+    return cards.select(
+        key.alias("id"), F.coalesce(F.nullif(text("title"), F.lit("")), F.lit("知识点")).alias("title"), text("source", 120).alias("source"), text("summary").alias("summary"),
+        F.when(F.rlike("color", F.lit(COLOR)), F.col("color")).otherwise(color).alias("color"), F.coalesce("favorite", F.lit(False)).alias("favorite"),
+        V.bounded_integer(F.col("mastery"), 0, 5, 0).alias("mastery"), V.bounded_integer(F.col("review_count"), 0, 2**53 - 1, 0).alias("review_count"), text("day", 10).alias("day"),
+    )
+
+
+def valid_citations(citations: DataFrame, card: str, most: int = MAX_CITED) -> DataFrame:
+    """The citations of each card that are well formed, of the first `most` by place, each id once."""
+    from lorecraft.operators.library import first_rows
+
+    c, quote = F.col, F.col("quote")
+    good = (
+        F.rlike("id", F.lit("^citation_[A-Za-z0-9_-]+$")) & F.rlike("chunk", F.lit("^chunk_[A-Za-z0-9_-]+$")) & F.rlike("doc", F.lit("^doc_[A-Za-z0-9_-]+$")) & c("claim").isin(CITED_CLAIMS) & c("type").isin(CITED_TYPES)
+        & (F.trim("title") != "") & (F.length("title") <= 512) & (c("url").isNull() | F.rlike("url", F.lit(r"(?i)^https?://\S+$"))) & (F.trim(quote) != "") & (quote == F.trim(quote)) & (F.length(quote) <= 2000)
+        & (c("start") >= 0) & (c("end") > c("start")) & (F.length(quote) == c("end") - c("start")) & (c("page").isNull() | c("page").between(1, 100_000))
+    )
+    own = first_rows(citations, [card], ["place"], most, "_n").filter(good)
+    return first_rows(own, [card, "id"], ["place"]).drop("_n", "rank")
+
+
+def summary_valid(goal: Column, lists: list[Column], keys: Column, references: Column, covered_id: Column, pair_id: Column) -> Column:
+    """Whether a summary's fields have their lengths, it ends at the turn it says, and its keys are among its references."""
+    short = lambda x, most: (F.size(x) <= most) & F.forall(x, lambda i: (F.trim(i) != "") & (F.length(i) <= 320))
+    good = (F.length(goal) <= 400) & short(keys, 8) & (F.size(references) <= 8) & (F.size(F.array_except(keys, references)) == 0) & (covered_id == pair_id)
+    for x in lists:
+        good = good & short(x, 6)
+    return F.coalesce(good, F.lit(False))
+
+
+def practice_fault(phase: Column, question: Column, hints: Column, previous: Column, previous_hints: Column, answer: Column) -> Column:
+    """What is inconsistent in a turn of practice: the question is kept while an answer is awaited, and hints never go down."""
+    same = question.isNotNull() & question.eqNullSafe(previous)
+    visible = lambda t: F.regexp_replace(F.regexp_replace(t, r"\*\*|__|`", ""), r"\s+", "")
+    waiting = phase == "awaiting_answer"
+    return (
+        F.when(question.isNotNull() & ((F.trim(question) == "") | (F.length(question) > 1200)), "question").when(hints.isNull() | ~hints.between(0, 5), "hints")
+        .when((waiting & question.isNull()) | (~waiting & (question.isNotNull() | (hints != 0))), "phase").when(same & (hints < previous_hints), "hints_lowered")
+        .when(question.isNotNull() & ~same & (hints != 0), "hints_at_start").when(question.isNotNull() & ~same & ~F.contains(visible(answer), visible(question)), "question_hidden")
+    )
+
+
+def reasons_of(reason: Column, preference: Column, target: Column, difficulty: Column) -> Column:
+    """Reasons of a candidate: why its seed was taken, then a difficulty preference that applies."""
+    own = F.struct(reason.alias("code"), F.lit(None).cast("string").alias("fits"))
+    wish = F.struct(F.lit("difficulty_preference").alias("code"), F.when(target == difficulty, "as_preferred").otherwise("downranked").alias("fits"))
+    return F.when(preference.isNotNull(), F.array(own, wish)).otherwise(F.array(own))
+
+
+def evidence_bundle(parts: dict[str, tuple[DataFrame, int]], documents: DataFrame, key: str) -> DataFrame:
+    """(key, origin, doc_id, start, quote): evidence of several origins, at most so many of each, whose quote is at its place.
+
+    parts: origin -> (rows of key, doc_id, start, quote, score; most).
+    """
+    from lorecraft.operators.library import first_rows
+
+    held = documents.select("doc_id", "content")
+    own = []
+    for origin, (rows, most) in parts.items():
+        exact = rows.join(held, "doc_id").filter(F.substring(F.col("content"), F.col("start") + 1, F.length("quote")) == F.col("quote"))
+        own.append(first_rows(exact, [key], [F.col("score").desc(), "doc_id", "start"], most).select(key, F.lit(origin).alias("origin"), "doc_id", "start", "quote"))
+    out = own[0]
+    for o in own[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def variant_sources(references: DataFrame, key: str, locations: int = 8, most: int = 32) -> DataFrame:
+    """(key, claim, doc_id, start, end): references at the first `locations` distinct places of each key, `most` in all."""
+    from lorecraft.operators.library import first_rows
+
+    place = references.groupBy(key, "doc_id", "start", "end").agg(F.min("place").alias("_first"))
+    kept = first_rows(place, [key], ["_first"], locations).select(key, "doc_id", "start", "end")
+    return first_rows(references.join(kept, [key, "doc_id", "start", "end"]), [key], ["place"], most).drop("rank")

@@ -68,10 +68,11 @@ def rt3(spark, d):
     return R.top(hits, ["query_id"], [F.col("score").desc(), "doc_id"], 5)
 
 
-@query("RT4_bm25_statistics", f"WITH t AS (SELECT doc_id, {tok('text')} AS l FROM documents) SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS term FROM t) GROUP BY ALL) GROUP BY term")
+@query("RT4_bm25_statistics", f"WITH t AS (SELECT doc_id, {tok('text')} AS l FROM documents), z AS (SELECT count(*) AS n, round(avg(len(l)), 6) AS avg_len FROM t) SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences, any_value(n) AS n, any_value(avg_len) AS avg_len FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS term FROM t) GROUP BY ALL), z GROUP BY term")
 def rt4(spark, d):
-    p = R.postings(B.documents(spark, d), "doc_id", text())
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    p, _, totals = R.bm25_statistics(B.documents(spark, d), "doc_id", text())
+    own = p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return own.crossJoin(F.broadcast(totals.select("n", F.round("avg_len", 6).alias("avg_len"))))  # totals is one row
 
 
 @query("RT5_bm25_rank", _BM + "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 5")
@@ -116,13 +117,13 @@ def rt11(spark, d):
     return R.reranked(hits, outside, "doc_id").select("query_id", "doc_id", "rank", "new_rank")
 
 
-@query("RT12_two_level_topk", _OVER + """SELECT query_id, count(*) AS candidates, count(DISTINCT source) AS sources, count(*) FILTER (WHERE g <= 2) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS g FROM over WHERE score >= 0.18) GROUP BY query_id""")
+@query("RT12_two_level_topk", _OVER + """, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS g, count(*) OVER (PARTITION BY query_id) AS candidates FROM over WHERE score >= 0.18)
+SELECT query_id, doc_id, source, rank, candidates FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE g <= 2) WHERE rank <= 5""")
 def rt12(spark, d):
+    """At most 2 of a document's source, then 5 of a query, with the number of candidates there were."""
     hits = overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST).join(B.documents(spark, d).select("doc_id", "source"), "doc_id")
-    from pyspark.sql import Window
-
-    g = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.col("score").desc(), "doc_id"))
-    return hits.withColumn("g", g).groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_distinct("source").alias("sources"), F.count_if(F.col("g") <= 2).alias("kept"))
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return R.group_capped(hits, "source", 2, 5, [F.col("score").desc(), "doc_id"]).join(counts, "query_id").select("query_id", "doc_id", "source", "rank", "candidates")
 
 
 @query("RT13_similar_check", _OVER + "SELECT query_id, doc_id, rank, round(100 * score)::BIGINT AS percent FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM over WHERE score >= 0.72) WHERE rank <= 3")
@@ -169,7 +170,7 @@ def rt22(spark, d):
 
 @query("RT23_vector_sanity", "SELECT label, bool_and(len(embedding) = 64) AS valid, CASE WHEN bool_and(len(embedding) = 64) THEN 'local-semantic' ELSE 'lexical-fallback' END AS strategy FROM embeddings GROUP BY label")
 def rt23(spark, d):
-    good = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    good = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return B.table(spark, d, "embeddings").groupBy("label").agg(F.bool_and(good).alias("valid")).withColumn("strategy", F.when(F.col("valid"), "local-semantic").otherwise("lexical-fallback"))
 
 

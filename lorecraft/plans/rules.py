@@ -249,3 +249,79 @@ def strategy_matrix(spark, d, strategies, k=3):
 @query("UX1_all_strategies")
 def ux1(spark, d):
     return strategy_matrix(spark, d, STRATEGIES)
+
+
+# ---- cards, citations and conversations
+
+
+@query("FN22_clean_cards", """SELECT 'c_' || doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN '知识点' ELSE 'Title ' || doc_id END AS title, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120) AS source, CASE WHEN doc_id % 3 = 0 THEN '#00FFaa' ELSE '#111111' END AS color, doc_id % 2 = 0 AS favorite,
+least(5, doc_id % 9)::BIGINT AS mastery, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id END::BIGINT AS review_count, '2024-01-02' AS day FROM documents""")
+def fn22(spark, d):
+    i = F.col("doc_id")
+    cards = B.documents(spark, d).select(
+        F.concat(F.lit("c "), i.cast("string")).alias("id"), F.when(i % 6 == 0, "  ").otherwise(F.concat(F.lit(" Title  "), i.cast("string"))).alias("title"), F.col("text").alias("source"), F.lit("s").alias("summary"),
+        pick(i, "#00FFaa", "red", "#12345").alias("color"), F.when(i % 2 == 0, F.lit(True)).alias("favorite"), (i % 9).cast("string").alias("mastery"), F.when(i % 4 == 0, "many").otherwise(i.cast("string")).alias("review_count"), F.lit("2024-01-02T03:04").alias("day"),
+    )
+    return U.clean_card(cards, "#111111").drop("summary")
+
+
+@query("FN23_valid_citations", """WITH c AS (SELECT doc_id // 12 AS card, doc_id AS place, 'citation_' || doc_id % 7 AS id, CASE WHEN doc_id % 11 = 0 THEN 'colour' ELSE 'summary' END AS claim, length(trim(substr(text, 1, 20))) = 20 AND doc_id % 5 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS good, row_number() OVER (PARTITION BY doc_id // 12 ORDER BY doc_id) AS n FROM documents)
+SELECT card, id, min(place) AS place FROM c WHERE n <= 8 AND good GROUP BY card, id""")
+def fn23(spark, d):
+    i = F.col("doc_id")
+    c = B.documents(spark, d).select(
+        F.floor(i / 12).alias("card"), i.alias("place"), F.concat(F.lit("citation_"), (i % 7).cast("string")).alias("id"), F.lit("chunk_1").alias("chunk"), F.concat(F.lit("doc_"), i.cast("string")).alias("doc"), F.when(i % 11 == 0, "colour").otherwise("summary").alias("claim"),
+        F.lit("text").alias("type"), F.lit("t").alias("title"), F.when(i % 13 == 0, "ftp://x").otherwise(F.lit(None)).alias("url"), F.substring("text", 1, 20).alias("quote"), F.lit(0).alias("start"), F.when(i % 5 == 0, 19).otherwise(20).alias("end"), F.lit(None).cast("int").alias("page"),
+    )
+    return U.valid_citations(c, "card").select("card", "id", "place")
+
+
+@query("CV6_summary_validity", "SELECT conv_id, turn, turn % 4 <> 0 AND turn % 3 <> 2 AND length(text) <= 400 AND conv_id % 5 <> 0 AS valid FROM conversations")
+def cv6(spark, d):
+    t = F.col("turn")
+    items = F.when(t % 4 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    keys = F.when(t % 3 == 2, F.array(F.lit("k9"))).otherwise(F.array(F.lit("k1")))
+    valid = U.summary_valid(F.col("text"), [items], keys, F.array(F.lit("k1"), F.lit("k2")), t, F.when(F.col("conv_id") % 5 == 0, t + 1).otherwise(t))
+    return B.table(spark, d, "conversations").select("conv_id", "turn", valid.alias("valid"))
+
+
+@query("CV10_practice_phase", "SELECT event_id AS id, [NULL, 'phase', 'hints_lowered', NULL, 'hints_at_start', 'question_hidden', 'phase', 'hints'][CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 8 + 1] AS fault FROM events")
+def cv10(spark, d):
+    k = F.col("k")
+    phase = pick(k, "awaiting_answer", "awaiting_answer", "awaiting_answer", "explaining", "awaiting_answer", "awaiting_answer", "explaining", "explaining")
+    question = pick(k, "What is it?", None, "What is it?", None, "What else?", "What else?", "What is it?", None)
+    hints = pick(k, 2, 0, 0, 0, 1, 0, 0, 9)
+    return rows(spark, d).select("id", U.practice_fault(phase, question, hints, F.lit("What is it?"), F.lit(1), F.when(k % 8 == 4, "So: **What else?**").otherwise("Think.")).alias("fault"))
+
+
+@query("DS16_reasons", "SELECT event_id AS id, CASE WHEN k % 3 = 0 THEN 'interest' ELSE 'interest,difficulty_preference:' || CASE WHEN k % 3 = k % 2 + 1 THEN 'as_preferred' ELSE 'downranked' END END AS reasons FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)")
+def ds16(spark, d):
+    k = F.col("k")
+    reasons = U.reasons_of(F.lit("interest"), F.when(k % 3 != 0, k), k % 3, k % 2 + 1)
+    text = F.transform(reasons, lambda r: F.concat_ws(":", r["code"], r["fits"]))
+    return rows(spark, d).select("id", F.array_join(text, ",").alias("reasons"))
+
+
+@query("RT30_evidence_bundle", _OVER + """, m AS (SELECT o.query_id, o.doc_id, o.score, CASE WHEN o.doc_id % 7 = 0 THEN 'never said so' ELSE substr(d.text, 1, 30) END AS quote, d.text FROM over o JOIN documents d USING (doc_id) WHERE o.score >= 0.18),
+r AS (SELECT query_id, 'material' AS origin, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM m WHERE doc_id % 7 <> 0 AND doc_id % 2 = 0 UNION ALL SELECT query_id, 'related', doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM m WHERE doc_id % 7 <> 0 AND doc_id % 2 = 1)
+SELECT query_id, origin, doc_id FROM r WHERE n <= CASE origin WHEN 'material' THEN 3 ELSE 5 END""")
+def rt30(spark, d):
+    docs = B.documents(spark, d).select("doc_id", F.col("text").alias("content"))
+    hits = overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST).select("query_id", "doc_id", "score").join(docs, "doc_id")
+    hits = hits.select("query_id", "doc_id", "score", F.lit(0).alias("start"), F.when(F.col("doc_id") % 7 == 0, "never said so").otherwise(F.substring("content", 1, 30)).alias("quote"))
+    return U.evidence_bundle({"material": (hits.filter("doc_id % 2 = 0"), 3), "related": (hits.filter("doc_id % 2 = 1"), 5)}, docs, "query_id").select("query_id", "origin", "doc_id")
+
+
+@query("RT31_variant_sources", B.RV_SQL + """, p AS (SELECT learner, exercise AS doc_id, unit AS start, unit + 9 AS "end", min(ms * 1000 + id % 1000) AS f FROM rv GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY f) AS n FROM p)
+SELECT learner, id FROM (SELECT rv.learner, rv.id, row_number() OVER (PARTITION BY rv.learner ORDER BY ms * 1000 + rv.id % 1000) AS m FROM rv JOIN k ON k.learner = rv.learner AND k.doc_id = exercise AND k.start = unit AND n <= 8) WHERE m <= 32""")
+def rt31(spark, d):
+    refs = B.review_events(spark, d).select("learner", "id", F.col("exercise").alias("doc_id"), F.col("unit").alias("start"), (F.col("unit") + 9).alias("end"), (F.col("ms") * 1000 + F.col("id") % 1000).alias("place"))
+    return U.variant_sources(refs, "learner").select("learner", "id")
+
+
+@query("EV6_heading_ablation", _OVER.replace("lower(text) AS t", "lower(source || ' ' || text) AS t").replace("list_distinct(list_concat(list_filter(regexp_extract_all(lower(text)", "list_distinct(list_concat(list_filter(regexp_extract_all(lower(source || ' ' || text)").replace("contains(lower(text),", "contains(lower(source || ' ' || text),") + "SELECT query_id, count(*) AS hits, max(score) AS best FROM over WHERE score >= 0.18 GROUP BY query_id")
+def ev6(spark, d):
+    """The lexical search with headings (the source's name) in front of each text; RT1 is the search without them."""
+    docs = B.documents(spark, d).select("doc_id", F.concat_ws(" ", "source", "text").alias("text"))
+    hits = R.overlap(B.queries(spark, d), docs, "doc_id", X.normalize_text(F.col("text")), X.normalize_text(F.col("query")))
+    return hits.filter(F.col("score") >= R.OVERLAP_LEAST).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorecraft import bindings as B
 from lorecraft.plans.registry import Registry
-from lorecraft.plans.review import _STREAK
+from lorecraft.plans.review import _STREAK, NOW_MS
 from lorecraft.sources.shared import drained
 from lorecraft.streaming import streams as S
 
@@ -48,3 +48,17 @@ def st5(spark, d):
     hours = drained(S.run_metrics(answers(spark, d)), "hours", "update")
     last = hours.groupBy("hour", "status").agg(F.max_by(F.struct("runs", "duration"), "batch").alias("s"))
     return last.select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "status", "s.*")
+
+
+@query("ST6_recent_only", f"SELECT event_id AS id, user_id AS learner FROM events WHERE epoch_us(ts) // 1000 >= {NOW_MS} - 10 * 86400000::BIGINT")
+def st6(spark, d):
+    return drained(S.recent_only(answers(spark, d), NOW_MS, 10).select("id", "learner"), "recent").select("id", "learner")
+
+
+@query("ST4_embedding_queue", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0")
+def st4(spark, d):
+    """Documents that a stream brings and whose vectors the cache lacks."""
+    docs = B.documents(spark, d)
+    entry = lambda t: t.select(F.col("doc_id").alias("id"), F.lit("m1").alias("model"), F.sha2("text", 256).alias("text"))
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet*")
+    return drained(S.embedding_queue(entry(stream), entry(docs.filter("doc_id % 3 <> 0"))), "queue").select("id")

@@ -54,7 +54,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search texts: query_id and the first 80 characters of every benchmark item."""
+    """Search texts: query_id and the first 80 characters of every benchmark item.
+
+    These stand for what a user types; the texts that are searched are whole. A document is
+    relevant to a query in the evaluations when it holds these characters.
+    """
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
 
 

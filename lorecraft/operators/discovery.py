@@ -34,21 +34,33 @@ def is_near(a: Column, b: Column, ga: Column, gb: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | inside | (overlap(ga, gb) >= NEAR * F.greatest(F.lit(1), F.least(F.size(ga), F.size(gb)))))
 
 
-def near_duplicates(items: DataFrame, key: str, text: Column, block: Column) -> DataFrame:
-    """(a, b): near-duplicate pairs of items with a common block value, a < b, by classes of equal text.
+def near_duplicates(items: DataFrame, key: str, text: Column) -> DataFrame:
+    """(a, b): all near-duplicate pairs of items, a < b, by classes of equal text.
 
-    block is an array of values that similar texts share, such as long n-grams; pairs come from
-    an equi-join on them, and equal texts are one class, so copies don't multiply.
+    A pair shares 0.7 of the smaller bigram set, or all of it where one text lies within the
+    other. So of the smaller set's bigrams, the rarest first, some of the first 0.3 and one is in
+    the larger set: those few are joined with all bigrams of the others, which loses no pair.
     """
-    classes = items.select(F.col(key).alias("id"), text.alias("t"), block.alias("_blocks")).filter("t <> ''").groupBy("t").agg(F.min("id").alias("id"), F.any_value("_blocks").alias("_blocks"))
-    told = classes.withColumn("g", X.grams(F.col("t")))
-    keys = told.select("id", F.explode(F.array_distinct("_blocks")).alias("block"))
-    common = keys.select("block", F.col("id").alias("a")).join(keys.select("block", F.col("id").alias("b")), "block").filter("a < b").select("a", "b").distinct()
+    classes = items.select(F.col(key).alias("id"), text.alias("t")).filter("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
+    told = classes.select("id", "t", X.grams(F.col("t")).alias("g")).withColumn("n", F.size("g"))
+    every = told.select("id", "n", F.explode("g").alias("gram"))
+    common = every.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = every.join(common, "gram").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram")))
+    first = ranked.filter(F.col("_r") <= F.col("n") - F.ceil(NEAR * F.col("n")) + 1).select("gram", F.col("id").alias("x"), F.col("n").alias("nx"))
+    met = first.join(every, "gram").filter((F.col("x") != F.col("id")) & (F.col("nx") <= F.col("n")))
+    pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     side = lambda n: told.select(F.col("id").alias(n), F.col("t").alias(f"t{n}"), F.col("g").alias(f"g{n}"))
-    both = common.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.filter(is_near(F.col("ta"), F.col("tb"), F.col("ga"), F.col("gb"))).select("a", "b")
 
 
+def confusion(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(detected, missed, false_positives) of pairs (a, b) against the true ones: one row."""
+    told = found.withColumn("_f", F.lit(True)).join(truth.withColumn("_t", F.lit(True)), ["a", "b"], "full")
+    f, t = F.coalesce("_f", F.lit(False)), F.coalesce("_t", F.lit(False))
+    return told.agg(F.count_if(f & t).alias("detected"), F.count_if(~f & t).alias("missed"), F.count_if(f & ~t).alias("false_positives"))
+
+
 def scored(candidates: DataFrame) -> DataFrame:
     """candidates(base, evidence, novelty_similarity, has_base, difficulty, target, downranked, familiar) with score components and score."""
     place = lambda c: F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col(c))

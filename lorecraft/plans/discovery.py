@@ -40,29 +40,28 @@ def ds3(spark, d):
     return _neighbours(spark, d).select("item_id", F.round(D.lexical_similarity(F.col("ga"), F.col("gb")), 6).alias("similarity"))
 
 
-_BLOCKS = "list_distinct(list_transform(range(1, greatest(length(t) - 7, 0) + 1), lambda i: lang || substr(t, i, 8)))"
+_NEAR = "(a.s <> '' AND b.s <> '' AND (a.s = b.s OR (least(length(a.s), length(b.s)) >= 12 AND (contains(a.s, b.s) OR contains(b.s, a.s))) OR len(list_intersect(a.g, b.g)) >= 0.7::DOUBLE * greatest(1, least(len(a.g), len(b.g)))))"
 
 
-@query("DS1_near_duplicates", f"""WITH t0 AS (SELECT doc_id, lang, {semantic('substr(text, 1, 60)')} AS t FROM documents WHERE lang = 'en'), c AS (SELECT t, min(doc_id) AS id, any_value(lang) AS lang FROM t0 WHERE t <> '' GROUP BY t),
-k AS (SELECT id, unnest({_BLOCKS}) AS block FROM c), pr AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.block = y.block AND x.id < y.id), g AS (SELECT *, {_grams('t')} AS g FROM c)
-SELECT a, b FROM pr JOIN g ga ON ga.id = a JOIN g gb ON gb.id = b WHERE (least(length(ga.t), length(gb.t)) >= 12 AND (contains(ga.t, gb.t) OR contains(gb.t, ga.t))) OR len(list_intersect(ga.g, gb.g)) >= 0.7::DOUBLE * greatest(1, least(len(ga.g), len(gb.g)))""")
+@query("DS1_near_duplicates", f"WITH b AS (SELECT min(item_id) AS id, s FROM (SELECT item_id, {semantic('text')} AS s FROM benchmark) WHERE s <> '' GROUP BY s), g AS (SELECT *, {_grams('s')} AS g FROM b) SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id WHERE {_NEAR}")
 def ds1(spark, d):
-    """By the first 60 characters of English documents, blocked by eight letters in a row."""
-    t = X.semantic_text(F.substring("text", 1, 60), clean=X.collapse)
-    docs = B.documents(spark, d).filter("lang = 'en'").select("doc_id", t.alias("t"))
-    return D.near_duplicates(docs, "doc_id", F.col("t"), X.ngrams(F.col("t"), 8))
+    b = B.table(spark, d, "benchmark")
+    return D.near_duplicates(b, "item_id", X.semantic_text(F.col("text"), clean=X.collapse))
+
+
+_COPIES = "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT item_id + 100000, CASE item_id % 3 WHEN 0 THEN substr(text, 6) WHEN 1 THEN substr(text, 1, 40) || ' and quite another end of it' ELSE reverse(text) END FROM benchmark"
 
 
-@query("EV7_duplicate_confusion", f"""WITH t0 AS (SELECT doc_id, lang, {semantic('substr(text, 1, 60)')} AS t FROM documents WHERE lang = 'en'), c AS (SELECT t, min(doc_id) AS id, any_value(lang) AS lang FROM t0 WHERE t <> '' GROUP BY t),
-k AS (SELECT id, unnest({_BLOCKS}) AS block FROM c), pr AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.block = y.block AND x.id < y.id), g AS (SELECT *, {_grams('t')} AS g FROM c),
-f AS (SELECT a, b, substr(ga.t, 1, 20) = substr(gb.t, 1, 20) AS truth FROM pr JOIN g ga ON ga.id = a JOIN g gb ON gb.id = b WHERE (least(length(ga.t), length(gb.t)) >= 12 AND (contains(ga.t, gb.t) OR contains(gb.t, ga.t))) OR len(list_intersect(ga.g, gb.g)) >= 0.7::DOUBLE * greatest(1, least(len(ga.g), len(gb.g))))
-SELECT count(*) FILTER (WHERE truth) AS detected, count(*) FILTER (WHERE NOT truth) AS other_pairs FROM f""")
+@query("EV7_duplicate_confusion", f"""WITH c AS ({_COPIES}), b AS (SELECT min(id) AS id, s FROM (SELECT id, {semantic('text')} AS s FROM c) WHERE s <> '' GROUP BY s), g AS (SELECT *, {_grams('s')} AS g FROM b), f AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id WHERE {_NEAR}),
+t AS (SELECT item_id AS a, item_id + 100000 AS b FROM benchmark WHERE item_id % 3 = 0)
+SELECT count(*) FILTER (WHERE f.a IS NOT NULL AND t.a IS NOT NULL) AS detected, count(*) FILTER (WHERE f.a IS NULL) AS missed, count(*) FILTER (WHERE t.a IS NULL) AS false_positives FROM f FULL JOIN t ON f.a = t.a AND f.b = t.b""")
 def ev7(spark, d):
-    t = X.semantic_text(F.substring("text", 1, 60), clean=X.collapse)
-    heads = B.documents(spark, d).filter("lang = 'en'").select("doc_id", F.substring(t, 1, 20).alias("h"))
-    pairs = ds1(spark, d)
-    both = pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(heads.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
-    return both.agg(F.count_if(F.col("ha") == F.col("hb")).alias("detected"), F.count_if(F.col("ha") != F.col("hb")).alias("other_pairs"))
+    """Each item with a cut copy (a duplicate), one with another end, or its mirror image."""
+    i, b = F.col("item_id"), B.table(spark, d, "benchmark")
+    changed = F.when(i % 3 == 0, F.substring(F.col("text"), F.lit(6), F.length("text"))).when(i % 3 == 1, F.concat(F.substring("text", 1, 40), F.lit(" and quite another end of it"))).otherwise(F.reverse("text"))
+    items = b.select(i.alias("id"), "text").unionByName(b.select((i + 100000).alias("id"), changed.alias("text")))
+    found = D.near_duplicates(items, "id", X.semantic_text(F.col("text"), clean=X.collapse))
+    return D.confusion(found, b.filter("item_id % 3 = 0").select(i.alias("a"), (i + 100000).alias("b")))
 
 
 def _candidates(spark, d):

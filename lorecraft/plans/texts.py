@@ -52,9 +52,9 @@ def fn2(spark, d):
     return B.documents(spark, d).select("doc_id", X.clean_text(F.col("text"), 200).alias("cleaned"))
 
 
-@query("FN3_semantic_text", f"SELECT doc_id, {semantic('text')} AS semantic FROM documents WHERE lang = 'en'")
+@query("FN3_semantic_text", f"SELECT doc_id, {semantic('text')} AS semantic FROM documents")
 def fn3(spark, d):
-    return B.documents(spark, d).filter("lang = 'en'").select("doc_id", X.semantic_text(F.col("text")).alias("semantic"))
+    return B.documents(spark, d).select("doc_id", X.semantic_text(F.col("text")).alias("semantic"))
 
 
 @query("FN7_terms", f"SELECT doc_id, len({terms('text')})::INT AS n_terms, array_to_string(list_sort({terms('text')}), ' ') AS terms FROM documents")

@@ -9,14 +9,17 @@ pieces between underfull bins, always raising the sum of squared fill, until bin
 from __future__ import annotations
 
 import bisect
+import functools
+import heapq
 import math
-import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,55 +30,73 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Pieces of a group, which one task packs.
 GROUP_PIECES = 20_000
-#: Chunks of text whose ids a task remembers.
-REMEMBERED = 400_000
-#: Texts that are encoded together.
-SLICE = 1024
-#: Bins that the local search tries to empty without success before it ends.
-PATIENCE = 3
+#: Chunks of text whose ids a task remembers, and bytes of the longest one of them.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 100
 
-#: Marks after a word that are pieces of their own to the pre-tokenizer.
-_MARKS = ".,;:!?"
+#: Chunks of printable ASCII and of the Latin letters that have one lower-case form and are composed.
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]+")
+#: The pre-tokenizer's pieces of such chunks in lower case (fixed by the tokenizer file).
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
 
 
-def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
-    """texts -> little-endian unsigned 32-bit ids, by a tokenizer file whose pre-tokenizer drops white space.
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    A text is encoded in the chunks between white space, of which most are seen again and
-    again. A new chunk of letters with marks after them is the word and the marks, which the
-    pre-tokenizer parts too, and the tokenizer lower-cases ASCII words anyway: each such word
-    and each other chunk is encoded once.
+
+class ChunkIds(dict):
+    """Chunk between white space -> its little-endian unsigned 32-bit ids, worked out once for each chunk.
+
+    Plain chunks are cut as the pre-tokenizer cuts them and each piece goes to the model alone;
+    all others, and those that may hold a special token, go through the library as they are.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.pieces = self.tokenizer.model, byte_letters(), {}
+
+    def piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            known = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+            if len(piece) <= REMEMBERED_BYTES:
+                self.pieces[piece] = known
+        return known
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        chunk = raw.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            chunk = chunk.lower()
+            ids = self.piece(chunk) if chunk.isalpha() else b"".join(map(self.piece, _PIECES.findall(chunk)))
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(raw) <= REMEMBERED_BYTES:
+            self[raw] = ids
+        return ids
+
+
+@functools.cache
+def word_tokenizer(path: str) -> Callable[[bytes], bytes]:
+    """UTF-8 text -> little-endian unsigned 32-bit ids, by a tokenizer file whose pre-tokenizer drops white space.
+
+    A Python worker keeps it, and what it remembers, for its next tasks.
     """
-    # a task has one core: threads of the library would only wait for each other
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-
-    def parts(chunk: str) -> tuple[str, str]:
-        word = chunk.rstrip(_MARKS)
-        if not word.isalpha():
-            return chunk, ""
-        return word.lower() if word.isascii() else word, chunk[len(word) :]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        cut = {c: parts(c) for c in {c for own in chunks for c in own} if c not in known}
-        new = list({p for two in cut.values() for p in two if p not in known})
-        for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = array("I", e.ids).tobytes()
-        for c, (word, marks) in cut.items():
-            known[c] = known[word] + known[marks]
-        return [b"".join(map(known.__getitem__, own)) for own in chunks]
-
-    return encode
-
-
-def public_word_tokenizer() -> Callable[[list[str]], list[bytes]]:
+    of = ChunkIds(path).__getitem__
+    # bytes.split knows ASCII white space only; other white space stays inside its chunk for the library
+    return lambda raw: b"".join(map(of, raw.split()))
+
+
+def public_word_tokenizer() -> Callable[[bytes], bytes]:
     import public_tokenizers
 
     return word_tokenizer(public_tokenizers.path(TOKENIZER))
@@ -86,23 +107,25 @@ def token_pieces(
 ) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids binary]): the pieces of every text with END_ID after it."""
     end = np.array([END_ID], "<u4").tobytes()
+    names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer()
-        for pdf in batches:
-            rows = []
-            texts = ["" if t is None else t for t in pdf["text"]]
-            for at in range(0, len(texts), SLICE):
-                for id_, ids in zip(pdf["id"].iloc[at : at + SLICE], encode(texts[at : at + SLICE])):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        rows.append((id_, piece, start // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        for batch in batches:
+            rows, parts = [], []
+            for row, text in enumerate(batch.column(1)):
+                ids = encode(text.as_py() or b"") + end
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[start : start + 4 * capacity]
+                    rows.append(row)
+                    parts.append((piece, start // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
+            columns = zip(*parts) if parts else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, shape)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, shape)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -138,87 +161,137 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class Pool:
+    """The pieces of open bins by size, with the sizes that are there as the bits of one number."""
+
+    def __init__(self) -> None:
+        self.by_size: dict[int, dict[int, int]] = {}
+        self.bits = 0
+
+    def add(self, size: int, piece: int, owner: int) -> None:
+        self.by_size.setdefault(size, {})[piece] = owner
+        self.bits |= 1 << size
+
+    def take(self, size: int, piece: int) -> None:
+        own = self.by_size[size]
+        del own[piece]
+        if not own:
+            del self.by_size[size]
+            self.bits &= ~(1 << size)
+
+    def largest(self, size: int) -> int:
+        """The largest size that is there and no larger; 0 where there is none."""
+        return max(0, (self.bits & ((2 << size) - 1)).bit_length() - 1)
+
+    def some(self, sizes: list[int]) -> list[tuple[int, int]]:
+        """A (piece, owner) of each of these sizes, different ones for equal sizes."""
+        seen: dict[int, Iterator] = {n: iter(self.by_size[n].items()) for n in sizes}
+        return [next(seen[n]) for n in sizes]
+
+    def best_two(self, size: int) -> tuple[int, int]:
+        """Two sizes that are there, with the largest sum no larger than size; (0, 0) where there are none."""
+        sizes = np.array(sorted(self.by_size), np.int64)
+        sizes = sizes[: np.searchsorted(sizes, size, "left")]
+        if not len(sizes):
+            return 0, 0
+        at = np.searchsorted(sizes, size - sizes, "right") - 1
+        # a size that only one piece has can't be taken twice
+        alone = np.array([len(self.by_size[s]) == 1 for s in sizes.tolist()])
+        at = np.where(alone & (at == np.arange(len(sizes))), at - 1, at)
+        total = np.where(at >= 0, sizes + sizes[np.maximum(at, 0)], 0)
+        best = int(total.argmax())
+        return (int(sizes[best]), int(sizes[at[best]])) if total[best] else (0, 0)
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Fewer bins, where moves and exchanges between underfull ones can empty some.
 
-    The emptiest bin gives its pieces away: a move into a bin with room, else an exchange of
-    a piece for one or for two smaller ones of a fuller bin. Each step makes a fuller bin
-    fuller, so squared fill rises with every step and no state comes back. The search ends
-    at the lower bound or after PATIENCE bins that could not be emptied.
+    The fullest underfull bin takes pieces from emptier ones as long as that fills it further:
+    a move, an exchange of one for one, of two of its own for one, or of one for two, whichever
+    fills it most. Each step makes the fuller of two bins fuller, so squared fill rises, no state
+    comes back and the emptiest bins run dry. Then the next fullest one's turn comes; passes are
+    made until the lower bound is met or one changes nothing.
     """
-    least = math.ceil(int(lengths.sum()) / capacity)
-    size = lengths.tolist()
+    size = [int(n) for n in lengths.tolist()]
     fill = {b: sum(size[i] for i in items) for b, items in enumerate(bins)}
     held = {b: list(items) for b, items in enumerate(bins)}
-    open_ = {b for b in held if fill[b] < capacity}
-    given_up: set[int] = set()
-    failures = 0
-
-    def give(i: int, a: int) -> bool:
-        """Takes piece i out of bin a, or puts smaller ones in its place."""
-        n = size[i]
-        # move: the fullest other bin with room
-        fits = [(capacity - fill[b], b) for b in open_ if b != a and capacity - fill[b] >= n]
-        if fits:
-            swap(a, min(fits)[1], i, ())
-            return True
-        best, how = 0, None
-        for b in open_:
-            room = capacity - fill[b]
-            if b == a or fill[b] <= fill[a] or not room or room <= best:
+    least = math.ceil(sum(fill.values()) / capacity)
+    changed = True
+    while changed and len(held) > least:
+        changed = False
+        pool = Pool()
+        for b in held:
+            if fill[b] < capacity:
+                for i in held[b]:
+                    pool.add(size[i], i, b)
+        order = [(-fill[b], b) for b in held if fill[b] < capacity]
+        heapq.heapify(order)
+        done: set[int] = set()
+        while order:
+            full, a = heapq.heappop(order)
+            if a in done or a not in held or fill[a] != -full:  # it gave pieces away and stands in the heap again
                 continue
-            own = sorted((size[j], j) for j in held[b])
-            # one for one: the smallest piece t of b with n - room <= t < n, for the largest gain n - t
-            at = bisect.bisect_left(own, (n - room, -1))
-            if at < len(own) and own[at][0] < n and n - own[at][0] > best:
-                best, how = n - own[at][0], (b, (own[at][1],))
-            # one for two
-            lo, hi = 0, len(own) - 1
-            while lo < hi:
-                t = own[lo][0] + own[hi][0]
-                if t >= n:
-                    hi -= 1
-                elif t < n - room:
-                    lo += 1
+            done.add(a)
+            for i in held[a]:
+                pool.take(size[i], i)
+            gave: set[int] = set()
+            while fill[a] < capacity and (step := best_step(held[a], size, capacity - fill[a], pool, fill, capacity)):
+                out, into, back = step
+                changed = True
+                for i, b in into:
+                    pool.take(size[i], i)
+                    held[b].remove(i)
+                    held[a].append(i)
+                    fill[b] -= size[i]
+                    fill[a] += size[i]
+                    gave.add(b)
+                for i in out:
+                    held[a].remove(i)
+                    held[back].append(i)
+                    fill[back] += size[i]
+                    fill[a] -= size[i]
+                    pool.add(size[i], i, back)
+            for b in gave:
+                if held[b]:
+                    heapq.heappush(order, (-fill[b], b))
                 else:
-                    if n - t > best:
-                        best, how = n - t, (b, (own[lo][1], own[hi][1]))
-                    hi -= 1
-        if how:
-            swap(a, how[0], i, how[1])
-            return True
-        return False
-
-    def swap(a: int, b: int, i: int, back: tuple[int, ...]) -> None:
-        held[a].remove(i)
-        held[b].append(i)
-        for j in back:
-            held[b].remove(j)
-            held[a].append(j)
-        change = size[i] - sum(size[j] for j in back)
-        fill[a] -= change
-        fill[b] += change
-        if fill[b] == capacity:
-            open_.discard(b)
-
-    while len(held) > least and failures < PATIENCE:
-        ready = [b for b in open_ if b not in given_up]
-        if len(ready) < 1 or len(open_) < 2:
-            break
-        a = min(ready, key=lambda b: (fill[b], b))
-        moved = True
-        while held[a] and moved:
-            moved = any(give(i, a) for i in sorted(held[a], key=lambda i: -size[i]))
-        if held[a]:
-            given_up.add(a)
-            failures += 1
-        else:
-            del held[a], fill[a]
-            open_.discard(a)
-            failures = 0
+                    del held[b], fill[b]
     return list(held.values())
 
 
+def best_step(own: list[int], size: list[int], room: int, pool: Pool, fill: dict[int, int], capacity: int) -> tuple[list[int], list[tuple[int, int]], int] | None:
+    """(pieces that leave, (piece, bin) that come instead, bin they leave to): what fills a bin of these pieces most."""
+    best, out, sizes = pool.largest(room), [], None
+    if best:
+        sizes = [best]
+    one = {size[i]: i for i in own}
+    for n, i in one.items():
+        if best < room and (gain := pool.largest(n + room) - n) > best:
+            best, out, sizes = gain, [i], [n + gain]
+    if best < room:
+        # two of its own for one; a size stands for all pieces that have it, twice where there are two
+        twice = sorted(own, key=size.__getitem__)
+        twice = [i for k, i in enumerate(twice) if k < 2 or size[twice[k - 2]] != size[i]]
+        for k, i in enumerate(twice):
+            for j in twice[:k]:
+                n = size[i] + size[j]
+                if best < room and (gain := pool.largest(n + room) - n) > best:
+                    best, out, sizes = gain, [i, j], [n + gain]
+    how = sizes and (out, (into := pool.some(sizes)), into[0][1])
+    if best < room:
+        for n, i in one.items():
+            two = pool.best_two(n + room)
+            if best < room and sum(two) - n > best:
+                into = pool.some([*two])
+                # the piece leaves for one of the two bins, where that has room and squared fill still rises
+                for (_, b), (_, other), came, gone in ((*into, *two), (*into[::-1], *two[::-1])):
+                    after = fill[b] + n - came - (gone if b == other else 0)
+                    if after <= capacity and after <= capacity - room + sum(two) - n:
+                        best, how = sum(two) - n, ([i], into, b)
+                        break
+    return how or None
+
+
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length; full lengths get bins of their own."""
     bin_, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -244,12 +317,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     pieces = stored(pieces.drop("sequence_id", "offset"), "pieces")
     groups = max(1, math.ceil(pieces.count() / GROUP_PIECES))
     # the place in its partition tells repeated rows apart; a hash of it deals them evenly
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a task that is run again may get its rows in another order
+        pdf = pdf.sort_values("_row", ignore_index=True)
         bin_, offset = pack_lengths(pdf[length_col].to_numpy(np.int64), capacity)
         group = int(pdf["_group"].iloc[0])
-        return pdf.drop(columns="_group").assign(sequence_id=bin_ * groups + group, offset=offset)
+        return pdf.drop(columns=["_group", "_row"]).assign(sequence_id=bin_ * groups + group, offset=offset)
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.groupBy("_group").applyInPandas(run, f"{names}, sequence_id long, offset long")

@@ -366,3 +366,71 @@ def variant_sources(references: DataFrame, key: str, locations: int = 8, most: i
     place = references.groupBy(key, "doc_id", "start", "end").agg(F.min("place").alias("_first"))
     kept = first_rows(place, [key], ["_first"], locations).select(key, "doc_id", "start", "end")
     return first_rows(references.join(kept, [key, "doc_id", "start", "end"]), [key], ["place"], most).drop("rank")
+
+
+def evidence_issues(references: DataFrame, sources: DataFrame, key: str, required: list[str], links: int = 32, places: int = 8) -> DataFrame:
+    """(key, code) of references(key, place, claim, source, quote): too many links, quotes that aren't in their source, too many places, claims without any.
+
+    sources(source, text). Only the first `links` references of a candidate are looked at.
+    """
+    from lorecraft.operators.library import first_rows
+
+    own = first_rows(references, [key], ["place"], 2**31 - 1, "_n").join(sources, "source", "left")
+    at = F.when(F.col("claim").isin("summary", "exercise", "boundaries", "example") & (F.trim("quote") != ""), F.nullif(F.instr("text", F.col("quote")), F.lit(0)))
+    own = own.withColumn("_at", F.when(F.col("_n") <= links, at))
+    per = own.groupBy(key).agg(
+        (F.count("*") > links).alias("many"), (F.count_if((F.col("_n") <= links) & F.col("_at").isNull()) > 0).alias("lost"),
+        (F.count_distinct(F.when(F.col("_at").isNotNull(), F.struct("source", "_at", F.length("quote")))) > places).alias("spread"), F.collect_set(F.when(F.col("_at").isNotNull(), F.col("claim"))).alias("claims"),
+    )
+    missing = F.size(F.array_except(F.array(*[F.lit(c) for c in required]), "claims")) > 0
+    codes = F.array_compact(F.array(F.when(F.col("many"), "evidence_links_limit"), F.when(F.col("lost"), "evidence_location"), F.when(F.col("spread"), "evidence_limit"), F.when(missing, "evidence_coverage")))
+    return per.select(key, F.explode(codes).alias("code"))
+
+
+# How a question gives away the labels of an image.
+IMAGE_OK, TRANSLATES = "错误|是否|正确吗|调换|互换|纠正|对吗", "翻译|英语|英文词汇"
+LABEL = r"[“\"]([A-Za-z][A-Za-z0-9 _-]{2,40})[”\"]"
+
+
+def image_leak(goal: Column, observations: Column, question: Column, answer: Column) -> Column:
+    """image_answer_leak where a question names what is to be recognised, and the answer says it again."""
+    labels = F.array_distinct(F.regexp_extract_all(observations, F.lit(LABEL), F.lit(1)))
+    given = F.filter(labels, lambda x: F.contains(question, x))
+    mapping = (F.size(given) >= 3) & F.rlike(question, F.lit("从左到右|从上到下")) & F.rlike(question, F.lit("依次|分别"))
+    named = F.rlike(question, F.lit("标签(?:为|是)|标注为")) & F.rlike(question, F.lit("区域(?:对应|代表|是)"))
+    free = F.rlike(goal, F.lit(TRANSLATES)) | F.rlike(question, F.lit(IMAGE_OK))
+    return F.when(~free & (mapping | named) & F.exists(given, lambda x: F.contains(answer, x)), "image_answer_leak")
+
+
+class HashedBigrams:
+    """A deterministic embedding without a model: bigrams of the normalised text, hashed to signed places, unit length."""
+
+    def __init__(self, dimensions: int = 64):
+        self.dimensions, self.fingerprint = dimensions, f"hashed-bigrams-{dimensions}"
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        import zlib
+
+        import numpy as np
+
+        out = np.zeros((len(texts), self.dimensions))
+        for row, text in enumerate(texts):
+            low = " ".join((text or "").lower().split())
+            for i in range(len(low) - 1):
+                h = zlib.crc32(low[i : i + 2].encode())
+                out[row, h % self.dimensions] += 1 if h >> 31 else -1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0).tolist()
+
+
+def embedded(entries: DataFrame, id_col: str, text_col: str, embedding=None) -> DataFrame:
+    """(id, model, embedding) of entries by any object with `fingerprint` and `embed(texts)`, a batch at a time in the tasks."""
+    model = embedding or HashedBigrams()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "model": model.fingerprint, "embedding": model.embed(pdf["text"].tolist())})
+
+    kind = entries.schema[id_col].dataType.simpleString()
+    source = entries.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInPandas(run, f"id {kind}, model string, embedding array<double>").withColumnRenamed("id", id_col)

@@ -325,3 +325,51 @@ def ev6(spark, d):
     docs = B.documents(spark, d).select("doc_id", F.concat_ws(" ", "source", "text").alias("text"))
     hits = R.overlap(B.queries(spark, d), docs, "doc_id", X.normalize_text(F.col("text")), X.normalize_text(F.col("query")))
     return hits.filter(F.col("score") >= R.OVERLAP_LEAST).groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+
+
+@query("QA4_evidence", """WITH r AS (SELECT doc_id // 10 AS card, doc_id, ['summary', 'exercise', 'colour', 'example'][doc_id % 4 + 1] AS claim, CASE WHEN doc_id % 7 = 0 THEN 'never said so' ELSE substr(text, 5, 20) END AS quote, text FROM documents WHERE length(text) > 30),
+l AS (SELECT *, CASE WHEN claim <> 'colour' AND trim(quote) <> '' AND contains(text, quote) THEN doc_id END AS hit FROM r), p AS (SELECT card, count(*) > count(hit) AS lost, count(DISTINCT hit) > 6 AS spread, count(*) FILTER (WHERE hit IS NOT NULL AND claim = 'summary') = 0 OR count(*) FILTER (WHERE hit IS NOT NULL AND claim = 'exercise') = 0 AS missing FROM l GROUP BY card)
+SELECT card, 'evidence_location' AS code FROM p WHERE lost UNION ALL SELECT card, 'evidence_limit' FROM p WHERE spread UNION ALL SELECT card, 'evidence_coverage' FROM p WHERE missing""")
+def qa4(spark, d):
+    i = F.col("doc_id")
+    docs = B.documents(spark, d).filter("length(text) > 30")
+    refs = docs.select(F.floor(i / 10).alias("card"), i.alias("place"), pick(i, "summary", "exercise", "colour", "example").alias("claim"), i.alias("source"), F.when(i % 7 == 0, "never said so").otherwise(F.substring("text", 5, 20)).alias("quote"))
+    return U.evidence_issues(refs, docs.select(i.alias("source"), "text"), "card", ["summary", "exercise"], places=6)
+
+
+@query("QA16_image_leak", told("image_answer_leak", None, "image_answer_leak", None, None))
+def qa16(spark, d):
+    k = F.col("k")
+    seen = F.lit('图中有“Input”、“Hidden”、“Output”三块')
+    question = pick(k, "从左到右依次是 Input、Hidden、Output，分别是什么？", "最右侧区域叫什么？", "标签为 Input 的区域对应哪一块？", "从左到右依次是 Input、Hidden、Output，是否正确吗？", "从左到右依次是 Input、Hidden、Output，分别是什么？")
+    return rows(spark, d).select("id", U.image_leak(pick(k, "学", "学", "学", "学", "翻译标签"), seen, question, F.lit("左边是 Input")).alias("issue"))
+
+
+@query("UX2_embeddings", "SELECT item_id, 'hashed-bigrams-64' AS model, 64 AS dimensions, 1.0::DOUBLE AS norm FROM benchmark")
+def ux2(spark, d):
+    """Vectors of texts by the default embedding; any other object with `fingerprint` and `embed` fits as well."""
+    told = U.embedded(B.table(spark, d, "benchmark"), "item_id", "text")
+    return told.select("item_id", "model", F.size("embedding").alias("dimensions"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+#: Rule sets by version: the codes that a task asks for and their patterns.
+RULE_SETS = {"v1": {"long_digits": r"\d{3,}"}, "v2": {"long_digits": r"\d{3,}", "question": r"\?"}}
+
+
+@query("UX4_rule_sets", "SELECT doc_id, 'v2' AS version, code FROM (SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(text, '[0-9]{3,}') THEN 'long_digits' END, CASE WHEN contains(text, '?') THEN 'question' END], lambda x: x IS NOT NULL)) AS code FROM documents)")
+def ux4(spark, d):
+    """The rules of a version over the fields of a table; another version is another entry of RULE_SETS."""
+    from lorecraft.operators.upkeep import flagged
+
+    fields = B.documents(spark, d).select(F.col("doc_id").alias("key"), F.lit("text").alias("field"), F.col("text").alias("value"))
+    return flagged(fields, RULE_SETS["v2"]).select(F.col("key").alias("doc_id"), F.lit("v2").alias("version"), "code")
+
+
+@query("UX3_similarity_strategies", _PAIR + f"SELECT a.item_id, round(CASE WHEN a.s = b.s THEN 1 WHEN a.item_id % 2 = 0 THEN greatest(0, least(1, list_cosine_similarity(va.embedding::DOUBLE[], vb.embedding::DOUBLE[]))) ELSE coalesce({_SIM.format('a.gs', 'b.gs')}, 0) END, 6) AS similarity FROM g a JOIN g b ON b.item_id = a.item_id + 1 JOIN embeddings va ON va.vec_id = a.item_id JOIN embeddings vb ON vb.vec_id = b.item_id")
+def ux3(spark, d):
+    """Vectors where both items have one (the even ones here), shared bigrams otherwise."""
+    v = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    i = _items(spark, d).join(v, "item_id")
+    other = i.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("s2"), F.col("gs").alias("gs2"), F.col("embedding").alias("e2"))
+    mine = F.when(F.col("item_id") % 2 == 0, F.col("embedding"))
+    return i.join(other, "item_id").select("item_id", F.round(U.similarity(F.col("s"), F.col("s2"), F.col("gs"), F.col("gs2"), mine, F.col("e2")), 6).alias("similarity"))

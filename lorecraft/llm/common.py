@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A key that holds more than one row in this many is resolved by a broadcast of so few rows.
 HEAVY_KEYS = 1000
+#: Spark's setting that removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,21 +38,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lorecraft/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict) -> Iterator[None]:
+    """Settings of the session for the actions inside, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are removed as soon as it is committed.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, {SHUFFLE_CLEANUP: "true"}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Removes the files of a table made by ``stored`` that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Removes the files of tables made by ``stored`` that no later step reads."""
+    for df in tables:
+        if df is None:
+            continue
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -13,30 +13,45 @@ sets of the texts decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_heavy, stored
+from .common import drop_stored, join_heavy, settings, stored
 from .graph import components
 
 K = 40
 SHINGLE = 5
-#: Share of a sketch that a pair over the threshold shares at least: for a Jaccard similarity
-#: of 0.85 and 40 values the shared number is 34 on average with a deviation of 2.3; 22 are asked.
-SHARED = 0.55
-#: Estimates below this are dropped before texts are compared: over five deviations under 0.85.
-ESTIMATE = 0.55
+#: Standard deviations of a sketch's share of common values that a pair at the threshold may
+#: fall short by: fewer than one such pair in a million is lost to candidates or estimates.
+DEVIATIONS = 5.3
+#: Texts of a block that pairs are verified against, and texts that one copy of it meets.
+BLOCK_TEXTS, PART_ROWS = 16, 512
 REMEMBERED = 400_000
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 #: Times that candidates are held against each other's shingles; each time fewer are left.
 PRUNINGS = 2
 
 
+def least_share(threshold: int, k: int) -> float:
+    """The share of k sketch values that two sets of a similarity of threshold percent have in common at least.
+
+    The number is binomial, so its deviation follows from the threshold and k. A threshold so
+    low that not one value would be asked for is refused: it needs a larger k.
+    """
+    t = threshold / 100
+    share = t - DEVIATIONS * math.sqrt(t * (1 - t) / k)
+    if share * k < 1:
+        raise ValueError(f"{k} sketch values are too few for a threshold of {threshold} percent")
+    return share
+
+
 class WordHash(dict):
     """64-bit hashes of words, worked out once for each word."""
 
@@ -88,15 +103,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, size: int) ->
     return source.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, set_id string, sketch array<long>")
 
 
-def retained_lists(classes: DataFrame) -> DataFrame:
+def retained_lists(classes: DataFrame, share: float) -> DataFrame:
     """(v, cls, n_shingles): inverted lists of the rarest retained values of classes(cls, n_shingles, sketch)."""
     entries = classes.select("cls", "n_shingles", F.size("sketch").alias("width"), F.explode("sketch").alias("v"))
-    counts = stored(entries.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1"), "values")
-    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    shared = join_heavy(entries, counts.withColumn("found", F.lit(True)), "v", "n", total).filter("found")
+    counts = entries.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")
+    # a value that many classes retain is one row of counts: adaptive execution cuts its side of the join
+    shared = entries.join(counts, "v")
     ranked = shared.groupBy("cls", "n_shingles", "width").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("values"))
     # values that no other class retains are rarer still and come before the shared ones
-    room = F.col("width") - F.ceil(F.col("width") * SHARED) + 1 - (F.col("width") - F.size("values"))
+    room = F.col("width") - F.ceil(F.col("width") * share) + 1 - (F.col("width") - F.size("values"))
     return ranked.filter(room > 0).select("cls", "n_shingles", F.explode(F.slice("values", F.lit(1), room.cast("int"))["v"]).alias("v"))
 
 
@@ -121,66 +136,111 @@ def candidate_lists(lists: DataFrame, texts: DataFrame, threshold: int, size: in
     return told.filter(100 * F.col("common") >= threshold * F.col("n_shingles"))
 
 
-def pairs_between(lists: DataFrame, labels: DataFrame | None, star: bool, threshold: int) -> DataFrame:
-    """(a, b) with a < b: pairs of lists that no component joins yet and whose sizes allow a link.
+def open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists(v, cls, n_shingles, common) with `label`, and `most`, the list's most frequent label; only lists of two labels or more.
 
-    star: each list pairs one class outside its most frequent component with all others, the one
-    with the fewest shingles of its own: what links with anything is likely to link with it.
-    Else every class outside that component is paired with all that are not of its own.
+    A list whose classes are all of one component has nothing to find any more, now or later.
     """
-    total = lists.count()
     if labels is not None:
         # a class has a bounded number of list entries, so labels meet entries without skew
         lists = lists.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     else:
         lists = lists.withColumn("label", F.col("cls"))
     by_label = lists.groupBy("v", "label").agg(F.count("*").alias("n"))
-    by_list = by_label.groupBy("v").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    told = stored(join_heavy(lists, stored(by_list.select("v", "n", "most"), "parts"), "v", "n", total).filter("n IS NOT NULL"), "open")
-    few = told if labels is None else told.filter("label <> most")
-    few = few.select("v", F.col("cls").alias("x"), F.col("n_shingles").alias("nx"), F.col("common").alias("cx"), F.col("label").alias("lx"), "n")
+    most = by_label.groupBy("v").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    return lists.join(most, "v")
+
+
+def possible(threshold: int) -> Column:
+    """Whether `common` of two classes allows a link between components: of n_shingles and label with nx, cx and lx."""
     most = F.least("common", "cx")
-    possible = (F.col("label") != F.col("lx")) & (100 * most >= threshold * (F.col("n_shingles") + F.col("nx") - most))
-    if star:
-        central = F.struct(((F.col("nx") - F.col("cx")) / F.col("nx")).alias("own"), F.col("x").alias("x"))
-        few = few.groupBy("v").agg(F.min_by(F.struct("x", "nx", "cx", "lx", "n"), central).alias("s")).select("v", "s.*")
-        met = join_heavy(told.drop("n"), few, "v", "n", total).filter("x IS NOT NULL")
-    else:
-        # a pair is taken in the first of the lists that both are in, so it is made once
-        own = stored(told.groupBy("cls").agg(F.array_sort(F.collect_list("v")).alias("lists")), "own")
-        told = told.join(own, "cls")
-        few = few.join(own.select(F.col("cls").alias("x"), F.col("lists").alias("lists_x")), "x").withColumnRenamed("v", "vx").drop("n")
-        met = told.join(few, (F.col("v") == F.col("vx")) & possible & (F.col("v") == F.array_min(F.array_intersect("lists", "lists_x"))))
-    return met.filter(possible).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+    return (F.col("label") != F.col("lx")) & (100 * most >= threshold * (F.col("n_shingles") + F.col("nx") - most))
+
+
+def others(told: DataFrame, all_of: bool = False) -> DataFrame:
+    """The classes outside their list's most frequent component, or all of them, as x."""
+    return told.filter(F.lit(all_of) | (F.col("label") != F.col("most"))).select("v", F.col("cls").alias("x"), F.col("n_shingles").alias("nx"), F.col("common").alias("cx"), F.col("label").alias("lx"))
+
+
+def star_pairs(told: DataFrame, threshold: int, first: bool) -> DataFrame:
+    """(v, x, m): in each open list one class x with all others of other components.
+
+    x lies outside the most frequent component, but in the first round, and has the fewest
+    shingles of its own: what links with anything is likely to link with it.
+    """
+    central = F.struct(((F.col("nx") - F.col("cx")) / F.col("nx")).alias("own"), F.col("x").alias("x"))
+    centre = others(told, first).groupBy("v").agg(F.min_by(F.struct("x", "nx", "cx", "lx"), central).alias("s")).select("v", "s.*")
+    return told.join(centre, "v").filter(possible(threshold)).select("v", "x", F.col("cls").alias("m"))
+
+
+def rest_pairs(told: DataFrame, centres: DataFrame, tested: DataFrame, threshold: int) -> DataFrame:
+    """(x, m): every class outside its list's most frequent component with all of other components.
+
+    centres(v, x) were compared with their lists, and tested(x, m, jaccard) tells the results.
+    Jaccard distances keep the triangle inequality, so a pair goes whose distances from one
+    centre of the list differ by more than a link allows: it can't be one.
+    """
+    to = centres.groupBy("v").agg(F.min("x").alias("centre"))
+    known = tested.select(F.col("x").alias("centre"), F.col("m").alias("cls"), "jaccard").unionByName(tested.select(F.col("m").alias("centre"), F.col("x").alias("cls"), "jaccard")).distinct()
+    told = told.join(to, "v", "left").join(known, ["centre", "cls"], "left")
+    told = told.withColumn("far", F.when(F.col("cls") == F.col("centre"), 0.0).otherwise(1 - F.col("jaccard"))).drop("jaccard", "centre")
+    # a pair is taken in the first of the lists that both are in, so it is made once
+    own = stored(told.groupBy("cls").agg(F.array_sort(F.collect_list("v")).alias("lists")), "own")
+    few = others(told).join(told.select("v", F.col("cls").alias("x"), F.col("far").alias("far_x")), ["v", "x"])
+    few = few.join(own.select(F.col("cls").alias("x"), F.col("lists").alias("lists_x")), "x").withColumnRenamed("v", "vx")
+    near = F.coalesce(F.abs(F.col("far") - F.col("far_x")) <= 1 - threshold / 100 + 1e-9, F.lit(True))
+    met = told.join(own, "cls").join(few, (F.col("v") == F.col("vx")) & possible(threshold) & near & (F.col("v") == F.array_min(F.array_intersect("lists", "lists_x"))))
+    return met.select("x", F.col("cls").alias("m"))
+
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, x, m): each pair once, whichever of the two was x."""
+    return pairs.select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b"), "x", "m").dropDuplicates(["a", "b"])
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
     """Pairs whose union sketch, the k smallest of both sketches, has a share of common values of least or more."""
     s = classes.select("cls", "sketch")
-    both = pairs.join(s.select(F.col("cls").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("cls").alias("b"), F.col("sketch").alias("sb")), "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return both.filter(common >= F.lit(least) * F.size(union)).select("a", "b")
+    both = pairs.join(s.select(F.col("cls").alias("x"), F.col("sketch").alias("sx")), "x").join(s.select(F.col("cls").alias("m"), F.col("sketch").alias("sm")), "m")
+    union = F.slice(F.sort_array(F.array_union("sx", "sm")), 1, k)
+    common = F.size(F.array_intersect(F.array_intersect("sx", "sm"), union))
+    return both.filter(common >= F.lit(least) * F.size(union)).select("x", "m")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
-    """(a, b) of pairs whose full shingle sets have 100 x intersection >= threshold x union; texts(cls, text)."""
+def compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(x, m, jaccard) of stored pairs, by their full shingle sets; texts(cls, text).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, last, own = WordHash(), None, None
-        for pdf in batches:
-            keep = []
-            for ta, tb in zip(pdf["ta"], pdf["tb"]):
-                if ta != last:  # pairs come sorted by a, a centre with its pairs
-                    last, own = ta, np.unique(shingle_stream(ta, known, size))
-                other = np.unique(shingle_stream(tb, known, size))
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * common >= threshold * (len(own) + len(other) - common))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a")
-    return both.sortWithinPartitions("a").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    The texts of x are dealt into small blocks. A row for each m and block brings the text of m
+    once, however many x of the block it meets. A block that meets many m is copied for every
+    PART_ROWS of them, so no task gets more.
+    """
+    blocks = max(1, pairs.select("x").distinct().count() // BLOCK_TEXTS)
+    block = F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("block")
+    met = pairs.groupBy("m", block).agg(F.collect_set("x").alias("xs"))
+    parts = met.groupBy("block").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    rows = met.join(parts, "block").select("m", "xs", "block", F.pmod(F.xxhash64("m"), "parts").alias("part")).join(texts.select(F.col("cls").alias("m"), F.col("text").alias("tm")), "m")
+    held = pairs.select("x").distinct().join(texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x").select("x", "tx", block)
+    held = held.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "x", "tx")
+    kind = pairs.schema["x"].dataType
+
+    def run(key: tuple, rows: pa.Table, held: pa.Table) -> pa.Table:
+        known = WordHash()
+        sets: dict = {}
+        for x, tx in zip(held["x"].to_pylist(), held["tx"].to_pylist()):
+            sets.setdefault(x, []).append(np.unique(shingle_stream(tx, known, size)))
+        out: list[tuple] = []
+        for m, tm, xs in zip(rows["m"].to_pylist(), rows["tm"].to_pylist(), rows["xs"].to_pylist()):
+            other = np.unique(shingle_stream(tm, known, size))
+            for x in xs:
+                for own in sets.get(x, []):  # ids that repeat have a set for each of their texts
+                    common = len(np.intersect1d(own, other, assume_unique=True))
+                    out.append((x, m, common / (len(own) + len(other) - common), common, len(own) + len(other) - common))
+        columns = list(zip(*out)) if out else [()] * 5
+        types = [rows["m"].type, rows["m"].type, pa.float64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["x", "m", "jaccard", "common", "total"])
+
+    shape = f"x {kind.simpleString()}, m {kind.simpleString()}, jaccard double, common long, total long"
+    return rows.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(run, shape)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85, k: int = K, size: int = SHINGLE) -> DataFrame:
@@ -193,6 +253,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id and is kept. Rows that share an id are one document with the links of all.
     Other columns are not read. An empty table gives an empty table.
     """
+    share = least_share(threshold, k)
+    spark = docs.sparkSession
     rows = stored(sketches(docs, id_col, text_col, k, size), "sketches")
     total = rows.count()
     classes = stored(
@@ -202,27 +264,49 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "classes",
     )
     # classes that share their smallest id, where ids repeat, are linked by that id already
-    lists = stored(retained_lists(classes.select("cls", "n_shingles", "sketch")), "lists")
-    texts = docs.select(F.col(id_col).alias("cls"), F.col(text_col).cast("string").alias("text"))
+    lists = stored(retained_lists(classes.select("cls", "n_shingles", "sketch"), share), "lists")
+    texts = None
     for _ in range(PRUNINGS):
-        texts = stored(texts.join(lists.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls", "text"]), "texts")
+        source = docs.select(F.col(id_col).alias("cls"), F.col(text_col).cast("string").alias("text")) if texts is None else texts
+        old = texts, lists
+        texts = stored(source.join(lists.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls", "text"]), "texts")
         lists = stored(candidate_lists(lists.drop("common"), texts, threshold, size), "candidates")
-    links, labels, tried, star = None, None, None, True
+        drop_stored(*old)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """tested(x, m, jaccard, ...) of the pairs that the sketches let through."""
+        some = stored(estimated(pairs, classes, k, share), "estimated")
+        # few bytes may be much work here: partitions are not joined by their size
+        with settings(spark, {COALESCE: "false"}):
+            out = stored(compared(some, texts, size), "compared")
+        drop_stored(some)
+        return out
+
+    linked = F.lit(100) * F.col("common") >= F.lit(threshold) * F.col("total")
+    labels, tested, tried, centres, first = None, None, None, None, True
     while True:
-        pairs = pairs_between(lists, labels, star, threshold)
+        # classes with other ids join the lists that are still open only
+        old, lists = lists, stored(open_lists(lists.drop("label", "most"), labels), "open")
+        drop_stored(old)
+        star = stored(star_pairs(lists, threshold, first), "star")
+        pairs = unordered(star.select("x", "m"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = stored(verified(stored(estimated(pairs, classes, k, ESTIMATE), "estimated"), texts, threshold, size), "links")
-        some = found.limit(1).count() > 0
-        if some:
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if not star:
-            break
-        # centres are tried as long as they find links, then the rest is paired in full
+        found = links_of(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        star = some
+        tested = found if tested is None else tested.unionByName(found)
+        centres = star.select("v", "x").distinct() if centres is None else centres
+        first = False
+        if not found.filter(linked).limit(1).count():
+            break
+        drop_stored(labels)
+        labels = components(tested.filter(linked).select(F.col("x").alias("a"), F.col("m").alias("b")))
+    # what the centres leave apart is compared in full, but for pairs that can't be links
+    pairs = stored(unordered(rest_pairs(lists, centres, tested, threshold)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    tested = tested.unionByName(links_of(pairs))
+    if tested.filter(linked).limit(1).count():
+        labels = components(tested.filter(linked).select(F.col("x").alias("a"), F.col("m").alias("b")))
     table = classes.select("set_id", "n", "cls")
     if labels is not None:
         table = table.join(labels.withColumnRenamed("node", "cls"), "cls", "left")

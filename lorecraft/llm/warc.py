@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, join_heavy, stored
+from .common import fresh_path, stored
 
 #: Payloads below this size are always written in full.
 MIN_REVISIT_BYTES = 100
 #: Index lines of a compressed block; records that end an archive file; index lines of a partition.
 BLOCK_LINES, FILE_BYTES, PART_LINES = 1000, 1 << 30, 500_000
+#: Bytes of records that a task of a lookup reads back.
+LOOKUP_BYTES = 8 << 20
 #: Adjacent ranges of a store that one read fetches.
 READ_AHEAD = 1 << 20
 LEVEL = 4
@@ -101,11 +104,9 @@ def classified(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_b
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     narrow = stored(rows.select("page_id", "size", "digest"), "digests")
-    groups = narrow.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    # only repeated payloads need the join; the others' html stays where it was read
-    total = narrow.count()
-    groups = stored(groups, "repeats")
-    told = rows.join(F.broadcast(groups), "digest", "left") if groups.count() <= 1000 else join_heavy(rows, groups, "digest", "n", total)
+    groups = narrow.filter((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # the written table has a known size: Spark sends it to the rows where it is small, and else cuts hot digests as it joins
+    told = rows.join(stored(groups, "repeats"), "digest", "left")
     again = F.col("first_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
     return told.select(
         "page_id", "url", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "size", "digest",
@@ -279,7 +280,10 @@ def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col
         return spark.createDataFrame([], shape)
     rows = wanted.select(F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("sort_id"))
     routed = rows.mapInPandas(route, "part int, key string, sort_id long").distinct()
-    return routed.repartitionByRange("part", "key", "sort_id").sortWithinPartitions("part", "key", "sort_id").mapInPandas(read, shape)
+    # rows are short, but each one fetches a record: partitions are counted by what they read
+    held = archive.captures.agg(F.coalesce(F.avg("length"), F.lit(0.0))).first()[0]
+    parts = max(1, math.ceil(wanted.count() * held / LOOKUP_BYTES))
+    return routed.repartitionByRange(parts, "part", "key", "sort_id").sortWithinPartitions("part", "key", "sort_id").mapInPandas(read, shape)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecraft.llm import langid, line_dedup, minhash, packing, substring_dedup
-from lorecraft.llm.common import stored
+from lorecraft.llm.common import drop_stored, stored
 
 #: Documents whose language is less certain than this are rejected.
 MIN_LANGUAGE_SCORE = 0.5
-#: Percent of shared shingles from which documents count as near copies.
+#: Percent of shared shingles from which documents count as near copies: looser than the 85 of
+#: the query, as texts have lost their repeated lines by then.
 NEAR_COPY = 80
 
 
@@ -25,35 +26,65 @@ def with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
+def aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names out of the way of an operator's own ones, and the names to put back."""
+    back = {f"_own_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with some certainty; texts without a letter go."""
+    """Keeps documents whose language is told with some certainty.
+
+    Null and empty texts and those without a letter go; long texts are read whole; repeated rows
+    are told apart by nothing and stay or go together; a tie of languages is told as any other
+    prediction. All columns come back with their values, whatever their names. An empty table
+    gives an empty table.
+    """
     model = langid.fit(docs.select("doc_id", "lang", "text"))
-    told = langid.identify(docs, model)
-    return told.filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    held, back = aside(docs, ("lang_pred", "score"))
+    told = langid.identify(held, model)
+    return told.filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).withColumnsRenamed(back).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every line that a smaller doc_id holds; a document of nothing else goes."""
-    kept, _ = line_dedup.dedup_lines(docs)
-    return with_length(kept.filter((F.col("n_dropped") == 0) | (F.length("text") > 0)), docs.columns)
+    """Cuts every line that a smaller doc_id holds; a document of nothing else goes.
+
+    A null text is one empty line and stays null. Rows that share a doc_id keep the same lines.
+    Rows with a null doc_id, long texts, ties, other columns and an empty table: as in dedup_lines;
+    columns that have the names of its results keep their own values.
+    """
+    held, back = aside(docs, ("n_lines", "n_dropped"))
+    kept, _ = line_dedup.dedup_lines(held)
+    return with_length(kept.filter((F.col("n_dropped") == 0) | (F.length("text") > 0)).withColumnsRenamed(back), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies, the one with the smallest doc_id.
+
+    Documents without words and rows with a null doc_id stay. Rows that repeat a doc_id stay or
+    go together. Other columns come back as they are; an empty table gives an empty table.
+    """
     gone = minhash.near_dedup(docs.select("doc_id", "text"), threshold=NEAR_COPY).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of 50 words or more that a smaller doc_id holds too; a document of nothing else goes."""
-    spans = stored(substring_dedup.repeated_passages(docs.select("doc_id", "text")), "spans")
-    kept = substring_dedup.cut_passages(docs, spans)
-    emptied = kept.filter("text = ''").join(spans.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
-    return with_length(kept.join(emptied, "doc_id", "left_anti"), docs.columns)
+    """Cuts every passage of 50 words or more that a smaller doc_id holds too; a document of nothing else goes.
+
+    Null and empty texts, short ones and rows with a null doc_id stay as they are. Rows that
+    repeat a doc_id are cut at the same words. Other columns come back as they are; an empty
+    table gives an empty table.
+    """
+    spans = substring_dedup.repeated_passages(docs.select("doc_id", "text"))
+    return with_length(substring_dedup.cut_passages(docs, spans, drop_emptied=True), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its sequence and place in it."""
+    """A row for each piece of a document, with its sequence and place in it.
+
+    A null text is an empty one; long texts are cut into pieces; repeated rows are documents of
+    their own. Other columns are not read; an empty table gives an empty table.
+    """
     return packing.pack_documents(docs.select("doc_id", "text"))
 
 
@@ -71,6 +102,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(before)
+        before = docs
     return docs

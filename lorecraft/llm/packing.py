@@ -9,7 +9,6 @@ pieces between underfull bins, always raising the sum of squared fill, until bin
 from __future__ import annotations
 
 import bisect
-import functools
 import heapq
 import math
 import re
@@ -31,7 +30,7 @@ END_ID = 1
 #: Pieces of a group, which one task packs.
 GROUP_PIECES = 20_000
 #: Chunks of text whose ids a task remembers, and bytes of the longest one of them.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 100
+REMEMBERED, REMEMBERED_BYTES = 150_000, 100
 
 #: Chunks of printable ASCII and of the Latin letters that have one lower-case form and are composed.
 _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]+")
@@ -85,12 +84,8 @@ class ChunkIds(dict):
         return ids
 
 
-@functools.cache
 def word_tokenizer(path: str) -> Callable[[bytes], bytes]:
-    """UTF-8 text -> little-endian unsigned 32-bit ids, by a tokenizer file whose pre-tokenizer drops white space.
-
-    A Python worker keeps it, and what it remembers, for its next tasks.
-    """
+    """UTF-8 text -> little-endian unsigned 32-bit ids, by a tokenizer file whose pre-tokenizer drops white space."""
     of = ChunkIds(path).__getitem__
     # bytes.split knows ASCII white space only; other white space stays inside its chunk for the library
     return lambda raw: b"".join(map(of, raw.split()))

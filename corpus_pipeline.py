@@ -43,7 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("doc_id", "lang", "text"))
     held, back = aside(docs, ("lang_pred", "score"))
     told = langid.identify(held, model)
-    return told.filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).withColumnsRenamed(back).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).drop("lang_pred", "score").withColumnsRenamed(back).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held, back = aside(docs, ("n_lines", "n_dropped"))
     kept, _ = line_dedup.dedup_lines(held)
-    return with_length(kept.filter((F.col("n_dropped") == 0) | (F.length("text") > 0)).withColumnsRenamed(back), docs.columns)
+    return with_length(kept.filter((F.col("n_dropped") == 0) | (F.length("text") > 0)).drop("n_lines", "n_dropped").withColumnsRenamed(back), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,24 +107,35 @@ def gram_keys(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def compact(model: dict) -> dict:
+    """The model as one text of keys and one matrix for each length, which a worker holds in little memory."""
+    width = len(model["langs"])
+    return {"langs": model["langs"], **{size: ("\n".join(model[size]), np.array(list(model[size].values()), np.float32).reshape(len(model[size]), width)) for size in range(MAX_GRAM + 1)}}
+
+
 class WordScores:
-    """The model as arrays, which score many words together; the same values as word_scores."""
+    """A compact model as arrays, which score many words together; the same values as word_scores."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        width = len(self.langs)
-        self.row = {w: i for i, w in enumerate(model[0])}
-        self.words = np.array([*model[0].values(), np.zeros(width)], np.float64).reshape(-1, width)
+        keys, scores = model[0]
+        self.row = {w: i for i, w in enumerate(keys.split("\n"))} if keys else {}
+        self.words = np.concatenate([scores, np.zeros((1, len(self.langs)), np.float32)])
         self.grams = {}
         for size in range(1, MAX_GRAM + 1):
-            keys = np.array([gram_keys(code_points(g), size)[0] for g in model[size]], np.uint64)
-            order = np.argsort(keys)
-            self.grams[size] = keys[order], np.array(list(model[size].values()), np.float64).reshape(-1, width)[order]
+            keys, scores = model[size]
+            # n-grams of one length are one array of code points
+            codes = code_points(keys + "\n").reshape(-1, size + 1)[:, :size] if keys else np.zeros((0, size), np.uint64)
+            own = np.zeros(len(codes), np.uint64)
+            for k in range(size):
+                own = own * np.uint64(1 << 21 if k < 3 else 0x9E3779B97F4A7C15) + codes[:, k]
+            order = np.argsort(own)
+            self.grams[size] = own[order], scores[order]
 
     def of(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word; zeros where not even a letter is known."""
         rows = np.fromiter((self.row.get(w, -1) for w in words), np.int64, len(words))
-        out = self.words[rows]
+        out = self.words[rows].astype(np.float64)
         unseen = np.flatnonzero(rows < 0)
         for at in range(0, len(unseen), SLICE_WORDS):
             own = unseen[at : at + SLICE_WORDS]
@@ -150,7 +161,7 @@ class WordScores:
             if not len(of):
                 continue
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            total = np.add.reduceat(scores[at], starts, axis=0)
+            total = np.add.reduceat(scores[at].astype(np.float64), starts, axis=0)
             out[of[starts]] = total - total.max(axis=1, keepdims=True)
             todo[of[starts]] = False
         return out
@@ -236,7 +247,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     an empty table.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(compact(model))
     told = F.arrow_udf(scorer(held), "lang_pred string, score double")
     scored = docs.select(*own, told(F.col(text_col).cast("string").cast("binary")).alias("_told"))
     return scored.select(*own, F.col("_told.lang_pred").alias("lang_pred"), F.col("_told.score").alias("score"))

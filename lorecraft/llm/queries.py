@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, negatives, packing, quality, sentencepiece_codec, sharding, substring_dedup, warc
+from . import alignment, exact_dedup, langid, line_dedup, minhash, mixing, negatives, packing, quality, sentencepiece_codec, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_query,
     "op9_sharding": sharding.op9_query,
     "op10_minhash_near_dedup": minhash.op10_query,
+    "op11_tokenizer_alignment": alignment.op11_query,
     "op12_hard_negatives": negatives.op12_query,
     "op13_mixing": mixing.op13_query,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecraft.llm import langid, line_dedup, minhash, packing, substring_dedup
-from lorecraft.llm.common import drop_stored, stored
+from lorecraft.llm.common import drop_stored, settled
 
 #: Documents whose language is less certain than this are rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -64,7 +64,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words and rows with a null doc_id stay. Rows that repeat a doc_id stay or
     go together. Other columns come back as they are; an empty table gives an empty table.
     """
-    gone = minhash.near_dedup(docs.select("doc_id", "text"), threshold=NEAR_COPY).filter(~F.col("kept")).select("doc_id").distinct()
+    near = lambda: minhash.near_dedup(docs.select("doc_id", "text"), threshold=NEAR_COPY).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = settled(spark, near, "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -75,17 +76,20 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat a doc_id are cut at the same words. Other columns come back as they are; an empty
     table gives an empty table.
     """
-    spans = substring_dedup.repeated_passages(docs.select("doc_id", "text"))
+    spans = settled(spark, lambda: substring_dedup.repeated_passages(docs.select("doc_id", "text")), "spans")
     return with_length(substring_dedup.cut_passages(docs, spans, drop_emptied=True), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its sequence and place in it.
+    """A row for each piece of a document, with its token ids, its sequence and place in it.
+
+    The ids of a sequence's pieces in the order of their offsets are what a trainer reads
+    (packing.sequences joins them), so the product needs none of the tables before it.
 
     A null text is an empty one; long texts are cut into pieces; repeated rows are documents of
     their own. Other columns are not read; an empty table gives an empty table.
     """
-    return packing.pack_documents(docs.select("doc_id", "text"))
+    return packing.pack_documents(docs.select("doc_id", "text"), with_ids=True)
 
 
 STAGES = [
@@ -101,10 +105,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    """The packed sequences of the documents of a folder; nothing else is left of what the stages wrote."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-        drop_stored(before)
+        try:
+            docs = settled(spark, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        finally:
+            drop_stored(before)
         before = docs
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ LOWER = UPPER.lower()
 HEAVY_KEYS = 1000
 #: Spark's setting that removes the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that ``stored`` has written inside each ``settled`` that is under way.
+_WRITTEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,21 +60,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     with settings(spark, {SHUFFLE_CLEANUP: "true"}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders, through the file system that Spark writes them with."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(*tables: DataFrame | None) -> None:
     """Removes the files of tables made by ``stored`` that no later step reads."""
     for df in tables:
-        if df is None:
-            continue
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        if df is not None:
+            remove(df.sparkSession, sorted({f.rpartition("/")[0] for f in df.inputFiles()}))
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """build() stored, and every other table that was stored for it removed, also where it fails."""
+    _WRITTEN.append([])
+    try:
+        out = stored(build(), name)
+        _WRITTEN[-1].pop()
+    finally:
+        remove(spark, _WRITTEN.pop())
+    return out
 
 
 def lower_ascii(c: Column) -> Column:

@@ -305,24 +305,24 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """All columns of pieces, then sequence_id and offset (long).
 
-    Pieces are stored first, as the number of groups follows their number. Lengths are 0 to
-    capacity. Repeated rows are pieces of their own. An empty table gives an empty table;
-    columns of these two names are replaced.
+    Pieces are stored first, as the number of groups follows their number. Only lengths go to
+    the tasks that pack; the other columns come back by a join. Lengths are 0 to capacity.
+    Repeated rows are pieces of their own. An empty table gives an empty table; columns of these
+    two names are replaced, and so is one named _piece_row.
     """
-    pieces = stored(pieces.drop("sequence_id", "offset"), "pieces")
+    pieces = stored(pieces.drop("sequence_id", "offset").withColumn("_piece_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, math.ceil(pieces.count() / GROUP_PIECES))
-    # the place in its partition tells repeated rows apart; a hash of it deals them evenly
-    dealt = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    # the number of the row tells repeated rows apart; a hash of it deals them evenly
+    dealt = pieces.select(F.col("_piece_row").alias("of"), F.col(length_col).alias("length"), F.pmod(F.xxhash64("_piece_row"), F.lit(groups)).alias("group"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # a task that is run again may get its rows in another order
-        pdf = pdf.sort_values("_row", ignore_index=True)
-        bin_, offset = pack_lengths(pdf[length_col].to_numpy(np.int64), capacity)
-        group = int(pdf["_group"].iloc[0])
-        return pdf.drop(columns=["_group", "_row"]).assign(sequence_id=bin_ * groups + group, offset=offset)
+        pdf = pdf.sort_values("of", ignore_index=True)
+        bin_, offset = pack_lengths(pdf["length"].to_numpy(np.int64), capacity)
+        return pd.DataFrame({"of": pdf["of"], "sequence_id": bin_ * groups + int(pdf["group"].iloc[0]), "offset": offset})
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{names}, sequence_id long, offset long")
+    places = dealt.groupBy("group").applyInPandas(run, "of long, sequence_id long, offset long")
+    return pieces.join(places, F.col("_piece_row") == F.col("of")).drop("_piece_row", "of")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -64,3 +64,56 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
+
+
+# ---- cards about the documents, with sentences planted in them
+
+
+def sentence(cases: list[str | None]) -> str:
+    """SQL of the sentence for a row, by its doc_id; {a} and {b} are two words of its text. Spark and the oracle read it alike."""
+    def one(case: str | None) -> str:
+        if case is None:
+            return "NULL"
+        parts = [p for p in case.replace("{a}", "\x00a\x00").replace("{b}", "\x00b\x00").split("\x00") if p]
+        return "concat('', " + ", ".join(p if p in ("a", "b") else f"'{p}'" for p in parts) + ")"
+
+    return f"CASE doc_id % {len(cases)} " + " ".join(f"WHEN {i} THEN {one(c)}" for i, c in enumerate(cases)) + " END"
+
+
+_WORDS = "'([A-Za-z]{4,})[^A-Za-z]+([A-Za-z]{4,})'"
+_OWN_WORDS = ["doc_id", "coalesce(text, '') AS text", *[f"CASE WHEN coalesce(regexp_extract(text, {_WORDS}, {i}), '') = '' THEN '{w}' ELSE regexp_extract(text, {_WORDS}, {i}) END AS {c}" for i, c, w in ((1, "a", "alpha"), (2, "b", "beta"))]]
+
+
+def card_fields(spark: SparkSession, sf_dir: str, fields: dict[str, tuple]) -> DataFrame:
+    """(candidate, field, value, option): fields maps a name to (sentences, options or None, whether the document's text comes before)."""
+    own = documents(spark, sf_dir).selectExpr(*_OWN_WORDS)
+    parts = [own.selectExpr(*_field(name, *spec)) for name, spec in fields.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _field(name: str, said: list, options: list | None, whole: bool) -> list[str]:
+    value = f"concat(text, chr(10), {sentence(said)})" if whole else sentence(said)
+    return ["doc_id AS candidate", f"'{name}' AS field", f"CASE WHEN {sentence(said)} IS NOT NULL THEN {value} END AS value", f"{sentence(options) if options else 'CAST(NULL AS STRING)'} AS option"]
+
+
+def card_evidence(spark: SparkSession, sf_dir: str, said: list, observations: list | None = None, legend: list | None = None) -> DataFrame:
+    """(candidate, source, kind, text, observations, legend): the whole text of each document and a sentence; an image where observations are given."""
+    own = documents(spark, sf_dir).selectExpr(*_OWN_WORDS)
+    lists = lambda cases: f"CASE WHEN {sentence(cases)} IS NOT NULL THEN array({sentence(cases)}) END" if cases else "CAST(NULL AS ARRAY<STRING>)"
+    out = own.selectExpr("doc_id AS candidate", "0 AS source", "'text' AS kind", f"concat(text, chr(10), coalesce({sentence(said)}, '')) AS text", "CAST(NULL AS ARRAY<STRING>) AS observations", "CAST(NULL AS ARRAY<STRING>) AS legend")
+    if observations:
+        out = out.unionByName(own.selectExpr("doc_id AS candidate", "1 AS source", "'image' AS kind", "CAST(NULL AS STRING) AS text", f"{lists(observations)} AS observations", f"{lists(legend)} AS legend"))
+    return out
+
+
+def cards_sql(fields: dict[str, tuple], said: list, observations: list | None = None, legend: list | None = None) -> str:
+    """WITH own, fields, evidence: the same two tables for the oracle."""
+    rows = " UNION ALL ".join(f"SELECT {', '.join(_field(n, *s))} FROM own" for n, s in fields.items())
+    lists = lambda cases: f"CASE WHEN {sentence(cases)} IS NOT NULL THEN [{sentence(cases)}] END" if cases else "CAST(NULL AS VARCHAR[])"
+    sources = f"SELECT doc_id AS candidate, 0 AS source, 'text' AS kind, concat(text, chr(10), coalesce({sentence(said)}, '')) AS text, CAST(NULL AS VARCHAR[]) AS observations, CAST(NULL AS VARCHAR[]) AS legend FROM own"
+    if observations:
+        sources += f" UNION ALL SELECT doc_id, 1, 'image', NULL, {lists(observations)}, {lists(legend)} FROM own"
+    return f"WITH own AS (SELECT {', '.join(_OWN_WORDS)} FROM documents), fields AS ({rows}), evidence AS ({sources})"

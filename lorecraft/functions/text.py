@@ -60,6 +60,34 @@ def code_points(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """All matches in order, as an array of (quote, at): what matched and where it begins, from 0.
+
+    The parts between matches are what a split by the same pattern gives, so their lengths tell
+    the places.
+    """
+    text = F.coalesce(text, F.lit(""))
+    parts = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern), lambda quote, gap: F.struct(quote.alias("quote"), F.length(gap).alias("gap")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<quote:string,at:int>>").alias("out"))
+
+    def add(done: Column, part: Column) -> Column:
+        at = done["end"] + part["gap"]
+        own = F.struct(part["quote"].alias("quote"), at.alias("at"))
+        return F.struct((at + F.length(part["quote"])).alias("end"), F.concat(done["out"], F.array(own)).alias("out"))
+
+    return F.aggregate(F.filter(parts, lambda x: x["quote"].isNotNull()), start, add, lambda done: done["out"])
+
+
+def head(text: Column, at: Column) -> Column:
+    """What stands before a place."""
+    return F.substring(text, F.lit(1), at)
+
+
+def tail(text: Column, at: Column) -> Column:
+    """What stands from a place on."""
+    return F.substring(text, at + 1, F.length(text))
+
+
 def _folded(text: Column, start: int, step) -> Column:
     return F.aggregate(code_points(text), F.lit(start).cast("long"), step)
 
@@ -72,9 +100,24 @@ def stable_token(text: Column) -> Column:
     return F.repeat(F.lpad(F.lower(F.hex(h)), 8, "0"), 4)
 
 
+#: White space as the texts of cards have it: of any script, and the mark of byte order.
+SPACES = r"[\s\p{Z}\x{FEFF}]+"
+
+
+def squeezed(text: Column) -> Column:
+    """White space of any kind to one space, trimmed; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+
+
 def hash_text(text: Column) -> Column:
-    """The polynomial of base 31, modulo 2^32."""
-    return _folded(text, 0, lambda h, c: (h * F.lit(31) + F.ascii(c).cast("long")).bitwiseAND(F.lit(4294967295)))
+    """The polynomial of base 31 over the 16-bit units of the squeezed text, modulo 2^32."""
+    step = lambda h, unit: (h * F.lit(31) + unit.cast("long")).bitwiseAND(F.lit(4294967295))
+
+    def fold(h: Column, c: Column) -> Column:
+        code, beyond = F.ascii(c), F.ascii(c) - 65536
+        return F.when(code <= 65535, step(h, code)).otherwise(step(step(h, F.shiftright(beyond, 10) + 55296), beyond.bitwiseAND(F.lit(1023)) + 56320))
+
+    return _folded(squeezed(text), 0, fold)
 
 
 def topic_label(text: Column) -> Column:
@@ -132,13 +175,37 @@ def collapse_repetition(text: Column, limit: int = 600) -> Column:
 
 
 def sentences(text: Column, least: int = 8, most: int = 8) -> Column:
-    parts = F.transform(F.split(text, r"[。！？!?；;.\n]"), lambda x: F.trim(x))
+    """The first sentences of the squeezed text that are long enough; a line end is no end of a sentence."""
+    parts = F.transform(F.split(squeezed(text), r"[。！？!?；;.]"), lambda x: F.trim(x))
     return F.slice(F.filter(parts, lambda x: F.length(x) >= least), 1, most)
 
 
+# What introduces a definition, and what separates key words.
+DEFINED = r"(?:^|[。！？；，,\s])([\x{4e00}-\x{9fff}]{2,10})(?:是指|指的是|指|是)"
+NOT_KEY = r"[A-Za-z0-9_\-，。！？、；：,.!?;:\"'()（）\[\]【】]"
+
+
 def keywords(text: Column, most: int = 6) -> Column:
-    """Distinct Latin words of three letters or more, then Han runs, in order of occurrence."""
-    return F.slice(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0)), F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]{2,10}"), F.lit(0)))), 1, most)
+    """Distinct concepts that the text defines, then Latin words of three letters or more, then other words of 2 to 10 characters.
+
+    A longer word of another script is left out, not cut.
+    """
+
+    def of(t: Column) -> Column:
+        rest = F.filter(F.split(F.regexp_replace(t, NOT_KEY, " "), r"\s+"), lambda x: F.length(x).between(2, 10))
+        return F.concat(F.regexp_extract_all(t, F.lit(DEFINED), F.lit(1)), F.regexp_extract_all(t, F.lit(r"[A-Za-z][A-Za-z0-9_-]{2,}"), F.lit(0)), rest)
+
+    return F.slice(F.array_distinct(let(squeezed(text), lambda t: of(t))), 1, most)
+
+
+def compact_title(text: Column, fallback: str, n: int = 10) -> Column:
+    """The squeezed text, its first n characters and an ellipsis where it is longer; the fallback for a blank one."""
+    return let(squeezed(text), lambda t: F.when(t == "", F.lit(fallback)).otherwise(ellipsis(t, n)))
+
+
+def short_text(text: Column, limit: int) -> Column:
+    """The squeezed text in at most so many characters, the last one an ellipsis where something is cut."""
+    return let(squeezed(text), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.substring(t, 1, max(0, limit - 1)), F.lit("…"))))
 
 
 def ellipsis(text: Column, n: int) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,32 +82,6 @@ def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates
 
 
-def diverse(candidates: DataFrame, most: int = 3) -> DataFrame:
-    """(pool, id, pick, penalty): the greedy choice of each pool by score less penalty, ties by id.
-
-    candidates(pool, id, score, topic, grams): a pool is small by construction (a dozen). The
-    penalty is full within a topic, else it grows with the similarity to what is chosen.
-    """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, chosen = [(int(s), int(i), t, set(g)) for s, i, t, g in zip(pdf["score"], pdf["id"], pdf["topic"], pdf["grams"])], []
-
-        def penalty(c: tuple) -> int:
-            worst = 0
-            for _, _, topic, grams, _ in chosen:
-                related = len(grams & c[3]) / (len(grams) * len(c[3])) ** 0.5 if grams and c[3] else 0.0
-                worst = max(worst, WEIGHTS["diversity"] if topic == c[2] else int(WEIGHTS["diversity"] * max(0.0, (related - 0.45) / 0.55) + 0.5))
-            return worst
-
-        while left and len(chosen) < most:
-            best = max(left, key=lambda c: (c[0] - penalty(c), -c[1]))
-            chosen.append((*best, penalty(best)))
-            left.remove(best)
-        return pd.DataFrame([(pdf["pool"].iloc[0], c[1], k + 1, c[4]) for k, c in enumerate(chosen)], columns=["pool", "id", "pick", "penalty"])
-
-    return candidates.groupBy("pool").applyInPandas(pick, "pool long, id long, pick int, penalty int")
-
-
 def seeds(interests: DataFrame, weak: DataFrame, cards: DataFrame) -> DataFrame:
     """(learner, seed, kind, score): up to 4 interests, 3 weak units, 5 recent cards and one exploration seed of each learner."""
     def best(rows: DataFrame, order: list, most: int, kind: str, base: int) -> DataFrame:

@@ -18,7 +18,8 @@ from lorecraft.functions import text as X
 from lorecraft.operators import discovery as D
 
 # Patterns of the card rules.
-RETURNED = r"(?<!不是|而非|不应|并非|错误地)返回(?:值)?(?:为|是|：|:)?\s*([+-]?\d+(?:\.\d+)?)(?![\d.])"
+RETURNED = r"返回(?:值)?(?:为|是|：|:)?\s*([+-]?\d+(?:\.\d+)?)(?![\d.])"
+NOT_RETURNED = r"(?:不是|而非|不应|并非|错误地)\s*$"
 REPEATED_CALL = r"第[一二三四五六七八九十\d]+次[\s\S]*返回|连续调用[\s\S]*返回"
 STABLE, SORTING = "稳定|stable", "排序|sort"
 LEAK, LEAK_ASKS, LEAK_OK = r"先按次要键[^。\n]{0,14}再按主要键", "什么顺序|什么次序", "是否|错误|纠正"
@@ -28,9 +29,9 @@ FIXED_DISTANCE = r"(?:同一|固定)(?:构图[与和、])?(?:对焦距离|拍摄
 MOVED = r"(?:缩短|增加|增大|减小|改变|调整)[^，。；]{0,6}(?:对焦距离|拍摄距离|物距)|(?:更近|更远)(?:的)?拍摄距离|(?:相机|镜头)[^，。；]{0,12}(?:更近|更远|靠近|远离)"
 NEGATED_BEFORE = r"(?:不能|不可|不应|不允许|不要|避免|并非|不|错误地认为)[^，,]{0,10}$"
 NEGATED_AFTER = r"^(?:的(?:说法|做法|结论))?(?:会|将|就|是|则)?(?:违反|破坏|错误|不成立|不满足|无法保持)"
-LIMIT_THEOREM = r"(?i)中心极限定理|\bCLT\b"
+LIMIT_THEOREM = r"(?i)中心极限定理|(?<!\w)CLT(?!\w)"
 ACCURACY = r"(?i)Berry[ -]?Esseen|误差(?:上界|不超过|小于|≤)|假定[^。\n]{0,25}(?:近似|样本量足够)|(?:原始分布|总体|随机变量)(?:本身)?(?:是|为|服从)正态分布"
-ENOUGH = r"(?i)(?:\bn|样本量|样本数|样本大小)\s*(?:为|是|=|＝)\s*\d+\s*(?:已|已经|就|便|通常)?(?:足够大|够大|足以)"
+ENOUGH = r"(?i)(?:(?<!\w)n|样本量|样本数|样本大小)\s*(?:为|是|=|＝)\s*\d+\s*(?:已|已经|就|便|通常)?(?:足够大|够大|足以)"
 OTHERS_SEE = r"(?:另一|其他|其它)(?:个)?事务[^。；]{0,24}(?:看不到|看到|看见|可见)"
 SEE_OK = "不能|无法|未说明|没有说明|不保证|是否|假设|假定"
 SENSITIVITY = r"(?:检测)?准确率\s*[（(]\s*灵敏度\s*[）)]|灵敏度\s*(?:就是|即|等同于)\s*(?:检测)?准确率"
@@ -43,24 +44,24 @@ def clauses(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"[。；\n]")
 
 
-def clause_says(text: Column, pattern: str, before: str | None = None, after: str | None = None) -> Column:
-    """Whether a clause matches the pattern and isn't taken back by what stands before or after the match."""
-    def says(c: Column) -> Column:
-        first = F.regexp_substr(c, F.lit(pattern))
-        at = F.instr(c, first) if not isinstance(first, str) else first
-        hit = F.rlike(c, F.lit(pattern))
-        head, tail = F.substring(c, F.lit(1), at - 1), F.substring(c, at + F.length(first), F.length(c))
+def clause_says(text: Column, pattern: str, before: str | None = None, after: str | None = None, every: bool = True) -> Column:
+    """Whether a match of the pattern in a clause isn't taken back by what stands before or after it in the clause: any match, or only each clause's first."""
+    def stands(c: Column, m: Column) -> Column:
+        good = F.lit(True)
         if before:
-            hit = hit & ~F.rlike(head, F.lit(before))
+            good = good & ~F.rlike(X.head(c, m["at"]), F.lit(before))
         if after:
-            hit = hit & ~F.rlike(tail, F.lit(after))
-        return F.coalesce(hit, F.lit(False))
+            good = good & ~F.rlike(X.tail(c, m["at"] + F.length(m["quote"])), F.lit(after))
+        return good
 
-    return F.exists(clauses(text), says)
+    found = lambda c: X.matches(c, pattern) if every else F.slice(X.matches(c, pattern), 1, 1)
+    return F.exists(clauses(text), lambda c: F.exists(found(c), lambda m: stands(c, m)))
 
 
 def last_returned(text: Column) -> Column:
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(RETURNED), F.lit(1)), F.lit(-1)).try_cast("double")
+    """The last number that a text says is returned, those that it denies left out."""
+    said = F.filter(X.matches(text, RETURNED), lambda m: ~F.rlike(X.head(text, m["at"]), F.lit(NOT_RETURNED)))
+    return F.regexp_extract(F.try_element_at(said, F.lit(-1))["quote"], RETURNED, 1).try_cast("double")
 
 
 def numeric_mismatch(question: Column, answer: Column, explanation: Column) -> Column:
@@ -80,7 +81,7 @@ def sorting_issue(source: Column, question: Column, answer: Column) -> Column:
 def condition_issue(source: Column, question: Column, value: Column) -> Column:
     """question_condition_conflict where an answer moves what the question fixes; finite_sample_unverified where a count alone is called enough."""
     moved = F.contains(source, F.lit("景深")) & F.rlike(question, F.lit(FIXED_DISTANCE)) & clause_says(value, MOVED, NEGATED_BEFORE, NEGATED_AFTER)
-    few = F.rlike(source, F.lit(LIMIT_THEOREM)) & ~F.rlike(F.concat_ws("\n", source, question), F.lit(ACCURACY)) & clause_says(value, ENOUGH, NEGATED_BEFORE, NEGATED_AFTER)
+    few = F.rlike(source, F.lit(LIMIT_THEOREM)) & ~F.rlike(F.concat_ws("\n", source, question), F.lit(ACCURACY)) & clause_says(value, ENOUGH, NEGATED_BEFORE, NEGATED_AFTER, every=False)
     return F.when(moved, "question_condition_conflict").when(few, "finite_sample_unverified")
 
 
@@ -92,7 +93,7 @@ def transaction_issue(source: Column, value: Column) -> Column:
 
 
 def term_issue(value: Column) -> Column:
-    return F.when(clause_says(value, SENSITIVITY, TERM_BEFORE, TERM_AFTER), "term_conflation")
+    return F.when(clause_says(value, SENSITIVITY, TERM_BEFORE, TERM_AFTER, every=False), "term_conflation")
 
 
 def continuation_issue(source: Column, summary: Column) -> Column:

@@ -93,14 +93,6 @@ def ds18(spark, d):
     return D.unseen(rv.select("id", "learner", named("c", 20).alias("concept"), named("s", 33).alias("signature")), seen).select("id")
 
 
-@query("DS19_diverse_picks")
-def ds19(spark, d):
-    """Pools of ten benchmark items each."""
-    b = B.table(spark, d, "benchmark")
-    pool = F.floor(F.col("item_id") / 10).cast("long")
-    return D.diverse(b.select(pool.alias("pool"), F.col("item_id").alias("id"), (100 - F.col("item_id") % 7).cast("int").alias("score"), (F.col("item_id") % 4).alias("topic"), X.grams(X.semantic_text(F.col("text"), clean=X.collapse)).alias("grams")))
-
-
 @query("DS6_seeds", _STREAK + """, i AS (SELECT learner, seed, ms, row_number() OVER (PARTITION BY learner ORDER BY ms DESC, seed) - 1 AS p FROM (SELECT learner, unit AS seed, max(ms) AS ms FROM rv WHERE event_type = 'purchase' GROUP BY ALL)),
 w AS (SELECT learner, unit AS seed, row_number() OVER (PARTITION BY learner ORDER BY incorrect_count DESC, last_reviewed_ms DESC, unit) - 1 AS p FROM mast WHERE mastery_level <> 'multiple_verified'),
 k AS (SELECT learner, seed, row_number() OVER (PARTITION BY learner ORDER BY ms DESC, seed) - 1 AS p FROM (SELECT learner, exercise AS seed, max(ms) AS ms FROM rv GROUP BY ALL)),

@@ -154,15 +154,6 @@ def ds12(spark, d):
     return B.table(spark, d, "benchmark").select("item_id", U.outline_fault(i % 6 != 0, F.when(i % 5 == 0, part(3)).otherwise(part(20)), F.when(i % 7 == 0, part(7)).otherwise(part(30)), F.when(i % 11 == 0, part(5)).otherwise(part(30)), knowledge).alias("fault"))
 
 
-@query("DS17_repeats_existing", _PAIR + f"SELECT a.item_id FROM g a WHERE EXISTS (SELECT 1 FROM g b WHERE b.item_id <> a.item_id AND b.item_id % 10 = a.item_id % 10 AND coalesce({_SIM.format('a.gt', 'b.gt')}, 0) >= 0.3)")
-def ds17(spark, d):
-    """Candidates that repeat what their unit has already; the existing targets of a unit are few."""
-    i = _items(spark, d).withColumn("unit", F.col("item_id") % 10)
-    old = i.select("unit", F.col("item_id").alias("old"), F.col("gt").alias("old_grams"))
-    hit = (F.col("old") != F.col("item_id")) & (D.lexical_similarity(F.col("gt"), F.col("old_grams")) >= 0.3)
-    return i.join(old, "unit").filter(hit).select("item_id").distinct()
-
-
 @query("DS26_promises", _PAIR + "SELECT a.item_id, array_to_string(list_filter([CASE WHEN len(a.gn) > 0 AND len(list_intersect(a.gn, b.gs)) / len(a.gn) < 0.18 THEN 'discovery_objective' END, CASE WHEN len(a.gt) > 0 AND len(list_intersect(a.gt, b.gs)) / len(a.gt) < 0.18 THEN 'discovery_novelty' END], lambda x: x IS NOT NULL), ',') AS issues FROM g a JOIN g b ON b.item_id = a.item_id + 1 - (a.item_id % 2)")
 def ds26(spark, d):
     i = _items(spark, d)

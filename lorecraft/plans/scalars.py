@@ -48,9 +48,18 @@ def fn12(spark, d):
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.token_similarity(F.col("text"), F.col("after")), 6).alias("similarity"))
 
 
-@query("FN15_keywords", """SELECT item_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: struct_pack(p := list_position(w, x), x := x)))[1:6], lambda s: s.x), ' ') AS words FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{2,}') AS w FROM benchmark)""")
+_PLANTED = "CASE doc_id % 4 WHEN 0 THEN '缓存是指一种存储。幂等指的是重复执行' WHEN 1 THEN '这是一个超过十个汉字的连续词语 并发，事务' WHEN 2 THEN '复习指回顾；召回是命中' ELSE '' END"
+_KEY_TEXT = f"trim(regexp_replace(concat({_PLANTED}, chr(10), coalesce(text, '')), '[\\s\\x0B\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query("FN15_keywords", f"""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:6], ' ') AS words FROM (
+  SELECT doc_id, list_concat(list_concat(regexp_extract_all(t, '(?:^|[。！？；，,\\s])([\\x{{4e00}}-\\x{{9fff}}]{{2,10}})(?:是指|指的是|指|是)', 1), regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_-]{{2,}}')),
+    list_filter(string_split_regex(regexp_replace(t, '[A-Za-z0-9_\\-，。！？、；：,.!?;:"''()（）\\[\\]【】]', ' ', 'g'), '\\s+'), lambda x: length(x) BETWEEN 2 AND 10)) AS w
+  FROM (SELECT doc_id, {_KEY_TEXT} AS t FROM documents))""")
 def fn15(spark, d):
-    return B.table(spark, d, "benchmark").select("item_id", F.array_join(X.keywords(F.col("text")), " ").alias("words"))
+    """Whole documents after a sentence with definitions or a long word."""
+    planted = F.expr(f"concat({_PLANTED}, chr(10), coalesce(text, ''))")
+    return B.documents(spark, d).select("doc_id", F.array_join(X.keywords(planted), " ").alias("words"))
 
 
 @query("FN17_alias_coalesce", f"SELECT id, coalesce(nullif(CASE WHEN k % 3 = 0 THEN '' ELSE event_type END, ''), CASE WHEN k % 2 = 0 THEN 'u' || user_id END, 'none') AS value FROM {_K}")

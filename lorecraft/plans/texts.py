@@ -36,9 +36,17 @@ def fn5(spark, d):
     return B.table(spark, d, "benchmark").select("item_id", X.stable_token(F.col("text")).alias("token"))
 
 
-@query("FN6_hash_text", """SELECT item_id, list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (h * 31 + c) & 4294967295, 0::BIGINT) AS hash FROM benchmark""")
+#: In SQL: white space squeezed.
+_SQUEEZED = "trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B\\p{Z}]+', ' ', 'g'))"
+_UNITS = """list_concat(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) <= 65535 THEN [unicode(c)::BIGINT] ELSE [55296 + (unicode(c) - 65536)::BIGINT // 1024, 56320 + (unicode(c) - 65536)::BIGINT % 1024] END), [])"""
+
+
+@query("FN6_hash_text", f"""SELECT item_id, list_reduce(flatten({_UNITS.format("t")}), lambda h, c: (h * 31 + c) & 4294967295, 0::BIGINT) AS hash
+  FROM (SELECT item_id, {_SQUEEZED} AS t FROM (SELECT item_id, text || chr(10) || '  😀 ' || item_id AS text FROM benchmark))""")
 def fn6(spark, d):
-    return B.table(spark, d, "benchmark").select("item_id", X.hash_text(F.col("text")).alias("hash"))
+    """Texts with more white space and a character of two units."""
+    text = F.concat("text", F.lit("\n  😀 "), F.col("item_id").cast("string"))
+    return B.table(spark, d, "benchmark").select("item_id", X.hash_text(text).alias("hash"))
 
 
 @query("FN4_topic", f"""SELECT DISTINCT source, 'topic_' || substr(repeat(lpad(lower(to_hex(list_reduce(list_transform(string_split(lower(source), ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT))), 8, '0'), 4), 1, 16) AS topic_id FROM documents WHERE source <> ''""")
@@ -83,14 +91,15 @@ def fn13(spark, d):
     return B.documents(spark, d).select("doc_id", X.collapse_repetition(F.col("text")).alias("collapsed"))
 
 
-@query("FN14_sentences", """SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;.\\n]'), lambda x: trim(x)), lambda x: length(x) >= 8)[1:8], '|') AS sentences FROM documents""")
+@query("FN14_sentences", f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_SQUEEZED}, '[。！？!?；;.]'), lambda x: trim(x)), lambda x: length(x) >= 8)[1:8], '|') AS sentences FROM documents""")
 def fn14(spark, d):
     return B.documents(spark, d).select("doc_id", F.array_join(X.sentences(F.col("text")), "|").alias("sentences"))
 
 
-@query("FN16_ellipsis", "SELECT item_id, CASE WHEN length(text) > 10 THEN substr(text, 1, 10) || '…' ELSE text END AS title FROM benchmark")
+@query("FN16_short_texts", f"""SELECT doc_id, CASE WHEN t = '' THEN '-' WHEN length(t) > 10 THEN substr(t, 1, 10) || '…' ELSE t END AS title, CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 39) || '…' END AS short
+  FROM (SELECT doc_id, {_SQUEEZED} AS t FROM documents)""")
 def fn16(spark, d):
-    return B.table(spark, d, "benchmark").select("item_id", X.ellipsis(F.col("text"), 10).alias("title"))
+    return B.documents(spark, d).select("doc_id", X.compact_title(F.col("text"), "-").alias("title"), X.short_text(F.col("text"), 40).alias("short"))
 
 
 @query("FN25_page_ranges", """SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(range(1 + turn % 4, 4 + turn % 4), [turn % 9 + 2]))), ',') AS pages FROM conversations""")

@@ -10,6 +10,7 @@ import html.parser
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -404,22 +405,22 @@ def image_leak(goal: Column, observations: Column, question: Column, answer: Col
 
 
 class HashedBigrams:
-    """A deterministic embedding without a model: bigrams of the normalised text, hashed to signed places, unit length."""
+    """A deterministic embedding without a model: bigrams of the lower-case text, hashed to signed places, unit length."""
+
+    # Factors of the hash of two code points.
+    FIRST, SECOND = 2654435761, 2246822519
 
     def __init__(self, dimensions: int = 64):
         self.dimensions, self.fingerprint = dimensions, f"hashed-bigrams-{dimensions}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
-        import numpy as np
-
-        out = np.zeros((len(texts), self.dimensions))
-        for row, text in enumerate(texts):
-            low = " ".join((text or "").lower().split())
-            for i in range(len(low) - 1):
-                h = zlib.crc32(low[i : i + 2].encode())
-                out[row, h % self.dimensions] += 1 if h >> 31 else -1
+        codes = [np.frombuffer(" ".join((t or "").lower().split()).encode("utf-32-le"), "<u4").astype(np.int64) for t in texts]
+        # bigrams of all texts at once; one that goes from a text into the next doesn't count
+        row, flat = np.repeat(np.arange(len(texts)), [len(c) for c in codes]), np.concatenate([*codes, np.zeros(0, np.int64)])
+        own = row[1:] == row[:-1]
+        h = ((flat[:-1] * self.FIRST + flat[1:] * self.SECOND) & 0xFFFFFFFF)[own]
+        place = row[:-1][own] * self.dimensions + (h >> 16) % self.dimensions
+        out = np.bincount(place, np.where(h >> 31, 1.0, -1.0), len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).tolist()
 

@@ -336,11 +336,17 @@ def qa16(spark, d):
     return rows(spark, d).select("id", U.image_leak(pick(k, "学", "学", "学", "学", "翻译标签"), seen, question, F.lit("左边是 Input")).alias("issue"))
 
 
-@query("UX2_embeddings", "SELECT item_id, 'hashed-bigrams-64' AS model, 64 AS dimensions, 1.0::DOUBLE AS norm FROM benchmark")
+_HASHED = """WITH t AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '[\\s\\x0B\\p{Z}]+', ' ', 'g')) AS t FROM documents),
+g AS (SELECT id, (unicode(substr(t, i, 1))::BIGINT * 2654435761 + unicode(substr(t, i + 1, 1))::BIGINT * 2246822519) % 4294967296 AS h FROM (SELECT id, t, unnest(range(1, length(t))) AS i FROM t)),
+p AS (SELECT id, (h // 65536) % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM g GROUP BY ALL)
+"""
+
+
+@query("UX2_embeddings", _HASHED + "SELECT id AS doc_id, 'hashed-bigrams-64' AS model, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM p QUALIFY n <> 0")
 def ux2(spark, d):
-    """Vectors of texts by the default embedding; any other object with `fingerprint` and `embed` fits as well."""
-    told = U.embedded(B.table(spark, d, "benchmark"), "item_id", "text")
-    return told.select("item_id", "model", F.size("embedding").alias("dimensions"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+    """Vectors of whole texts by the default embedding, a row for each number; any other object with `fingerprint`, `dimensions` and `embed` fits as well."""
+    told = U.embedded(B.documents(spark, d), "doc_id", "text")
+    return told.select("doc_id", "model", F.posexplode("embedding").alias("place", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
 #: Rule sets by version: the codes that a task asks for and their patterns.

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorecraft import bindings as B
+from lorecraft.operators import vectors as V
 from lorecraft.plans.registry import Registry
 from lorecraft.plans.review import _STREAK, NOW_MS
-from lorecraft.sources.shared import drained
+from lorecraft.sources import commits
+from lorecraft.sources.shared import drained, fresh_path
 from lorecraft.streaming import streams as S
 
 query = Registry()
@@ -55,10 +57,26 @@ def st6(spark, d):
     return drained(S.recent_only(answers(spark, d), NOW_MS, 10).select("id", "learner"), "recent").select("id", "learner")
 
 
-@query("ST4_embedding_queue", "SELECT doc_id AS id FROM documents WHERE doc_id % 3 = 0")
+@query("ST4_embedding_queue", "SELECT doc_id AS id, 64 AS dimensions, 1 AS rows, true AS in_batches FROM documents WHERE text IS NOT NULL")
 def st4(spark, d):
-    """Documents that a stream brings and whose vectors the cache lacks."""
-    docs = B.documents(spark, d)
-    entry = lambda t: t.select(F.col("doc_id").alias("id"), F.lit("m1").alias("model"), F.sha2("text", 256).alias("text"))
-    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet*")
-    return drained(S.embedding_queue(entry(stream), entry(docs.filter("doc_id % 3 <> 0"))), "queue").select("id")
+    """Every document embedded once, in batches of eight, by a stream that runs twice: the second time nothing is missing."""
+    docs, path = B.documents(spark, d), fresh_path(spark, "vectors")
+    for run in ("first", "again"):
+        stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parquet*").select(F.col("doc_id").alias("id"), "text")
+        V.fill_from(stream, path, run, fresh_path(spark, "checkpoint"))
+    told = V.stored(spark, path).withColumn("dimensions", F.size("vector"))
+    return told.groupBy("id", "dimensions").agg(F.count("*").cast("int").alias("rows"), F.bool_and(F.col("batch_rows").between(1, V.BATCH)).alias("in_batches"))
+
+
+@query("RT21_vector_store", """SELECT doc_id AS id, 64 AS dimensions, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS sha, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS embedded_in FROM documents WHERE doc_id % 17 <> 0 AND text IS NOT NULL""")
+def rt21_store(spark, d):
+    """The store after a change of every tenth text and the removal of every seventeenth: only what changed was embedded again."""
+    own, path = B.documents(spark, d).select(F.col("doc_id").alias("id"), "text"), fresh_path(spark, "vectors")
+    V.fill(spark, path, own, "all")
+    later = own.filter("id % 17 <> 0").withColumn("text", F.when(F.col("id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    V.fill(spark, path, later, "changes")
+    V.fill(spark, path, later, "changes")
+    V.prune(spark, path, later, "prune")
+    first = commits.read(spark, path, "rows", ["id"], at=1).select("id", F.col("text").alias("_first"))
+    told = V.stored(spark, path).join(first, "id")
+    return told.select("id", F.size("vector").alias("dimensions"), F.sha2("text", 256).alias("sha"), F.when(F.col("text") == F.col("_first"), 1).otherwise(2).alias("embedded_in"))

@@ -65,12 +65,3 @@ def running_mastery(events: DataFrame) -> DataFrame:
 def recent_only(events: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
     """Events no older than so many days, to the millisecond; older ones are dropped as they are written."""
     return events.filter(F.col("ms") >= now_ms - days * 86_400_000)
-
-
-def embedding_queue(entries: DataFrame, cached: DataFrame, size: int = 8) -> DataFrame:
-    """entries(id, model, text) of a stream that cached(id, model, text) lacks, with the number of a batch of about `size`.
-
-    The cache is a static table, read again for each micro-batch; batches follow the id's hash.
-    """
-    missing = entries.join(cached.select("id", "model", "text", F.lit(True).alias("_c")), ["id", "model", "text"], "left").filter("_c IS NULL").drop("_c")
-    return missing.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(size)))

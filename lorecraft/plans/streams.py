@@ -32,10 +32,15 @@ def st1(spark, d):
     return drained(S.ingested(twice, ["learner", "id"]), "ingest").select("id", "learner")
 
 
-@query("ST2_running_mastery", _STREAK + "SELECT learner, unit, review_count, correct_count, no_hint_correct_count, consecutive_no_hint_correct, exercise_count, last_reviewed_ms FROM mast")
+@query("ST2_running_mastery", _STREAK + """, sc AS (SELECT learner, unit, arg_max(interval_days, (ms, id)) AS interval_days FROM sched GROUP BY ALL)
+SELECT m.learner, m.unit, review_count, correct_count, no_hint_correct_count, consecutive_no_hint_correct, exercise_count, last_reviewed_ms, sc.interval_days::INTEGER AS interval_days, last_reviewed_ms + sc.interval_days * 86400000::BIGINT AS due_ms, 0::BIGINT AS late FROM mast m JOIN sc USING (learner, unit)""")
 def st2(spark, d):
-    states = drained(S.running_mastery(answers(spark, d)), "mastery", "update")
-    names = [c for c in states.columns if c not in ("learner", "unit", "late", "batch")]
+    """The answers in five files, each with answers of all times: later files hold answers older than those before."""
+    rv, path = B.review_events(spark, d), fresh_path(spark, "answers")
+    rv.withColumn("answered_at", F.col("answered_at").cast("timestamp")).repartition(5, F.xxhash64("id")).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    states = drained(S.running_mastery(stream), "mastery", "update")
+    names = ["review_count", "correct_count", "no_hint_correct_count", "consecutive_no_hint_correct", "exercise_count", "last_reviewed_ms", "interval_days", "due_ms", "late"]
     return states.groupBy("learner", "unit").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("learner", "unit", "s.*")
 
 

@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorecraft.operators import review as R
+
 HORIZON = "30 days"
-STATE = "reviews long, correct_n long, unhinted long, streak long, last_ms long, exercises array<int>"
-OUTPUT = "learner long, unit int, review_count long, correct_count long, no_hint_correct_count long, consecutive_no_hint_correct long, exercise_count long, last_reviewed_ms long, late long"
+HORIZON_MS = 30 * R.DAY_MS
+#: Totals of the answers before the horizon, then the answers within it, side by side.
+STATE = "reviews long, correct_n long, unhinted long, hinted long, streak long, prior long, last_ms long, last_correct boolean, exercises array<int>, late long, ids array<long>, ms array<long>, own_exercises array<int>, flags array<int>"
+OUTPUT = (
+    "learner long, unit int, review_count long, correct_count long, incorrect_count long, no_hint_correct_count long, hint_used_count long, consecutive_no_hint_correct long, exercise_count long, last_correct boolean, "
+    "last_reviewed_ms long, interval_days int, due_ms long, late long"
+)
 
 
 def ingested(events: DataFrame, key: list[str], horizon: str = HORIZON) -> DataFrame:
@@ -35,31 +42,51 @@ def run_metrics(events: DataFrame, horizon: str = "1 day") -> DataFrame:
     return hours.select(F.col("window.start").alias("hour"), F.col("event_type").alias("status"), "runs", "duration")
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    reviews, correct, unhinted, streak, last, exercises = state.get if state.exists else (0, 0, 0, 0, -1, [])
-    seen, late = set(exercises), 0
-    rows = pd.concat(batches).sort_values(["ms", "id"])
-    for r in rows.itertuples(index=False):
-        if r.ms < last:
-            late += 1  # an answer older than the state is told, not woven in
-            continue
-        hinted = bool(r.hint_used) if r.hint_used is not None else False
-        good = bool(r.correct) and not hinted
-        reviews, correct, unhinted = reviews + 1, correct + bool(r.correct), unhinted + good
-        streak, last = streak + 1 if good else 0, int(r.ms)
-        seen.add(int(r.exercise))
-    state.update((reviews, correct, unhinted, streak, last, sorted(seen)))
-    yield pd.DataFrame([(*key, reviews, correct, unhinted, streak, len(seen), last, late)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-
-def running_mastery(events: DataFrame) -> DataFrame:
-    """The mastery counts of each learner and unit after every micro-batch that touches them.
-
-    State is six values and the set of exercises of a unit. Within a batch answers are taken in
-    order of time; answers older than those of an earlier batch are counted as late.
+def _told(totals: tuple, answers: list[tuple]) -> tuple:
+    """Totals with more answers (ms, id, exercise, flags), in order of time; flags are 1 for correct and 2 for a hint."""
+    reviews, correct, unhinted, hinted, streak, prior, last, last_correct, exercises = totals
+    seen = set(exercises)
+    for ms, _, exercise, flags in sorted(answers):
+        good = flags == 1
+        reviews, correct, unhinted, hinted = reviews + 1, correct + (flags & 1), unhinted + good, hinted + (flags >> 1)
+        prior, streak, last, last_correct = streak, streak + 1 if good else 0, ms, bool(flags & 1)
+        seen.add(exercise)
+    return reviews, correct, unhinted, hinted, streak, prior, last, last_correct, sorted(seen)
+
+
+def _advanced(horizon_ms: int):
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *base, late, ids, ms, exercises, flags = state.get if state.exists else (0, 0, 0, 0, 0, 0, -1, False, [], 0, [], [], [], [])
+        recent = {i: (m, i, x, f) for i, m, x, f in zip(ids, ms, exercises, flags)}
+        for r in pd.concat(batches).dropna(subset=["correct", "ms", "id"]).itertuples(index=False):
+            if r.ms < base[6]:
+                late += 1  # older than what is folded: told, not woven in
+            else:
+                hinted = r.hint_used is not None and r.hint_used == True  # noqa: E712
+                recent.setdefault(int(r.id), (int(r.ms), int(r.id), int(r.exercise), int(bool(r.correct)) + 2 * hinted))
+        edge = max((a[0] for a in recent.values()), default=0) - horizon_ms
+        old = [a for a in recent.values() if a[0] < edge]
+        base, kept = _told(tuple(base), old), sorted(a for a in recent.values() if a[0] >= edge)
+        state.update((*base, late, [a[1] for a in kept], [a[0] for a in kept], [a[2] for a in kept], [a[3] for a in kept]))
+        reviews, correct, unhinted, hinted, streak, prior, last, last_correct, seen = _told(base, kept)
+        days = R.INTERVALS[min(prior, len(R.INTERVALS) - 1)] if streak else R.INTERVALS[0]
+        if reviews:
+            row = (*key, reviews, correct, reviews - correct, unhinted, hinted, streak, len(seen), last_correct, last, days, last + days * R.DAY_MS, late)
+            yield pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    return advance
+
+
+def running_mastery(events: DataFrame, horizon_ms: int = HORIZON_MS) -> DataFrame:
+    """Mastery counts, streak and schedule of each learner and unit after every micro-batch that touches them.
+
+    State holds the answers of the horizon before a unit's newest answer, and totals of older
+    ones. An answer that comes late is put where it belongs in time, so files may be replayed in
+    any order within the horizon; one that is older than a folded answer is counted as late. An
+    id counts once within the horizon; answers that are neither right nor wrong don't count.
     """
     own = events.select("learner", "unit", "id", "exercise", "correct", "hint_used", "ms")
-    return own.groupBy("learner", "unit").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return own.groupBy("learner", "unit").applyInPandasWithState(_advanced(horizon_ms), OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def recent_only(events: DataFrame, now_ms: int, days: int = 30) -> DataFrame:

@@ -35,6 +35,8 @@ DEVIATIONS = 5.3
 BLOCK_TEXTS, PART_ROWS = 16, 512
 REMEMBERED = 400_000
 COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
+#: Pairs compared for one link from which another round of centres costs more than it joins; the last round is exact in any case.
+FEW_LINKS = 50
 #: Times that candidates are held against each other's shingles; each time fewer are left.
 PRUNINGS = 2
 
@@ -298,7 +300,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tested = found if tested is None else tested.unionByName(found)
         centres = star.select("v", "x").distinct() if centres is None else centres
         first = False
-        if not found.filter(linked).limit(1).count():
+        if found.filter(linked).count() * FEW_LINKS <= pairs.count():
             break
         drop_stored(labels)
         labels = components(tested.filter(linked).select(F.col("x").alias("a"), F.col("m").alias("b")))

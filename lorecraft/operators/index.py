@@ -84,19 +84,19 @@ def overlaps(queries: DataFrame, entries: DataFrame, postings: DataFrame, least:
     ranked = ranked.withColumn("phrase", is_inner & (first_inner == 1)).select("query_id", "nq", "term", "left", "phrase")
     need = least * F.sqrt(F.col("nq") * F.least(F.col("n_terms"), F.col("nq") * 4)) - 1e-9
     pairs = ranked.join(postings, "term").filter((F.col("left") >= need) | F.col("phrase")).select("query_id", "owner", "entry").distinct()
-    both = pairs.join(entries.withColumnRenamed("terms", "found"), ["owner", "entry"]).join(own, "query_id")
-    return scored(both.unionByName(loose(own, entries)), least)
+    met = pairs.unionByName(loose(own, entries)).distinct()
+    return scored(met.join(entries.withColumnRenamed("terms", "found"), ["owner", "entry"]).join(own, "query_id"), least)
 
 
 def loose(own: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs of queries that have no inner term with the passages that hold them, by blocks of queries."""
+    """(query_id, owner, entry): queries that have no inner term with the passages that hold them, by blocks of queries."""
     open_ = own.filter((F.size("inner") == 0) & (F.length("q") >= 2))
     blocks = -(-open_.count() // R.MAX_LOOSE)
     parts = [open_.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)] or [open_.limit(0)]
-    texts = entries.withColumnRenamed("terms", "found").filter(F.size("found") > 0)
+    texts = entries.filter(F.size("terms") > 0).select("owner", "entry", "norm")
     out = None
     for part in parts:
-        met = texts.join(F.broadcast(part), F.contains("norm", F.col("q")))
+        met = texts.join(F.broadcast(part.select("query_id", "q")), F.contains("norm", F.col("q"))).select("query_id", "owner", "entry")
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -109,7 +109,7 @@ def scored(both: DataFrame, least: float) -> DataFrame:
     told = both.withColumn("matched", matched).withColumn("exact", exact)
     raw = F.when((nq == 0) | (nd == 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.when(F.col("exact"), 0.9).otherwise(0.0), hits / F.sqrt(nq * F.least(nd, nq * 4)))))
     out = told.withColumn("score", F.round(raw, 6)).filter(F.col("score") >= least)
-    return out.select("query_id", "owner", "entry", "type", "linked", "heading", "score", "exact", "matched").dropDuplicates(["query_id", "owner", "entry"])
+    return out.select("query_id", "owner", "entry", "type", "linked", "heading", "score", "exact", "matched")
 
 
 def within_documents(hits: DataFrame, most: int = 5) -> DataFrame:

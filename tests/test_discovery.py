@@ -1,33 +1,11 @@
-"""Greedy picks against brute force, and column functions by hand."""
+"""Column functions by hand, and dense search in blocks."""
 
 from pyspark.sql import functions as F
 
 from lorecraft.functions import text as X
-from lorecraft.operators import discovery as D
 from lorecraft.operators import retrieval as R
 
 
-def test_diverse_picks(spark):
-    rows = [(p, 10 * p + i, 100 - (i * 7) % 5, i % 2, [f"{c}{c}" for c in "abcdef"[: 1 + i % 4]]) for p in range(3) for i in range(8)]
-    got = {}
-    for r in D.diverse(spark.createDataFrame(rows, "pool long, id long, score int, topic long, grams array<string>")).collect():
-        got.setdefault(r.pool, []).append((r.pick, r.id))
-    for pool in range(3):
-        left, chosen = [r for r in rows if r[0] == pool], []
-
-        def penalty(r):
-            return max(
-                (35 if c[3] == r[3] else int(35 * max(0.0, (len(set(c[4]) & set(r[4])) / (len(c[4]) * len(r[4])) ** 0.5 - 0.45) / 0.55) + 0.5) for c in chosen),
-                default=0,
-            )
-
-        while len(chosen) < 3:
-            best = max(left, key=lambda r: (r[2] - penalty(r), -r[1]))
-            chosen.append(best)
-            left.remove(best)
-        assert [i for _, i in sorted(got[pool])] == [c[1] for c in chosen]
-
-
 def test_text_functions(spark):
     d = spark.createDataFrame([("Ｈｅｌｌｏ  the 缓存系统", "abcabcabc", "1-3, 2,8")], "a string, b string, c string")
     t = X.normalize_text(F.col("a"))
@@ -36,6 +14,14 @@ def test_text_functions(spark):
     assert r.r == "abc" and r.p == [1, 2, 3, 8] and r.n == "Hello the 缓存系统"
 
 
+def test_texts_of_cards(spark):
+    """Line ends are white space, characters beyond the basic plane are two units, long words of Han are left out."""
+    d = spark.createDataFrame([("first line here\nsecond line here. Third one it is", "a  b \U0001f600", "缓存是指一种存储，这是一个超过十个汉字的连续词语 Redis 集群")], "a string, b string, c string")
+    r = d.select(X.sentences(F.col("a")).alias("s"), X.hash_text(F.col("b")).alias("h"), X.keywords(F.col("c")).alias("k"), X.compact_title(F.lit(" \u3000 "), "none").alias("t"), X.short_text(F.col("a"), 12).alias("c")).first()
+    assert r.s == ["first line here second line here", "Third one it is"] and r.h == 2811303488
+    assert r.k == ["缓存是", "Redis", "缓存是指一种存储", "集群"] and r.t == "none" and r.c == "first line …"
+
+
 def test_dense_blocks_equal_one_block(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

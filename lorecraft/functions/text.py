@@ -135,7 +135,8 @@ def ngrams(text: Column, n: int = 2) -> Column:
 
 def grams(text: Column) -> Column:
     """Distinct bigrams; one character gives itself."""
-    return F.when(F.length(text) == 1, F.array(text)).otherwise(F.array_distinct(ngrams(text)))
+    # a filter that Spark infers may hold the whole expression of the text: it is worked out once even there
+    return let(text, lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(F.array_distinct(ngrams(t))))
 
 
 def _words(text: Column) -> Column:

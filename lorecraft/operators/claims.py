@@ -47,7 +47,8 @@ _FORM, _AFTER = 44, 12
 
 
 def last_clause(text: Column, breaks: str) -> Column:
-    return F.regexp_extract(text, f"[^{breaks}]*$", 0)
+    # a split reads the text once; a search for a run that ends it would begin at every place
+    return F.element_at(F.split(text, f"[{breaks}]"), -1)
 
 
 def has_text(c: Column) -> Column:
@@ -69,7 +70,7 @@ def relations(text: Column) -> Column:
     after a comparison isn't stated. Every match is tried.
     """
 
-    def told(m: Column) -> Column:
+    def told(text: Column, m: Column) -> Column:
         before = F.regexp_replace(last_clause(X.head(text, m["at"]), r"。；！？\n"), "[“‘\"']", "")
         after = F.regexp_replace(X.tail(text, m["at"] + F.length(m["quote"])), "^[”’\"']", "")
         left, sign, right = (F.regexp_extract(m["quote"], RELATION, i) for i in (1, 2, 3))
@@ -77,7 +78,8 @@ def relations(text: Column) -> Column:
         stated = ~F.rlike(before, F.lit(RELATION_DENIED)) & ~F.rlike(after, F.lit(RELATION_REJECTED))
         return F.struct(left.alias("left"), right.alias("right"), key.alias("key"), m["quote"].alias("quote"), m["at"].alias("at"), stated.alias("stated"))
 
-    return F.filter(F.transform(X.matches(text, RELATION), told), lambda r: r["stated"])
+    # the text is worked out once, however many matches read it
+    return X.let(text, lambda t: F.filter(F.transform(X.matches(t, RELATION), lambda m: told(t, m)), lambda r: r["stated"]))
 
 
 def boundary_issues(fields: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -114,13 +116,13 @@ def boundary_issues(fields: DataFrame, evidence: DataFrame) -> DataFrame:
 def strong_places(text: Column) -> Column:
     """Every strengthening word of a text, array of (word, at, form): the longer ones too, each with what follows it."""
 
-    def words(m: Column) -> Column:
+    def words(text: Column, m: Column) -> Column:
         more = [F.when(m["quote"] == base, F.concat(F.lit(base), F.lit(end))) for base, ends in LONGER.items() for end in ends]
         follows = lambda w: F.startswith(X.tail(text, m["at"]), w)
         own = F.filter(F.array_compact(F.array(m["quote"], *more)), follows)
         return F.transform(own, lambda w: F.struct(w.alias("word"), m["at"].alias("at"), F.substring(text, m["at"] + F.length(w) + 1, F.lit(_FORM + _AFTER)).alias("form")))
 
-    return F.flatten(F.transform(X.matches(text, STRONG), words))
+    return X.let(text, lambda t: F.flatten(F.transform(X.matches(t, STRONG), lambda m: words(t, m))))
 
 
 def statements(text: Column) -> Column:

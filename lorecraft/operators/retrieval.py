@@ -7,6 +7,8 @@ row_number filter, which Spark pushes below the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +31,7 @@ def term_sets(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return told.select(key, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
 
 
-#: Queries whose words can all be parts of longer ones, which are looked for in every text.
+#: Queries whose words can all be parts of longer ones, which are looked for in every text: so many of them, more or less, in one broadcast.
 MAX_LOOSE = 10_000
 
 
@@ -39,7 +41,8 @@ def overlap(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, qu
     hits / sqrt(nq * min(nd, 4 nq)), where a synonym tag counts twice; 0.9 at least where the
     whole query occurs; 1 at most. A text that holds the whole query has all its inner terms,
     those that are not cut off at either end; so texts are only read again for pairs that match
-    that many. Queries without inner terms, MAX_LOOSE at most, are held against all texts.
+    that many. Queries without inner terms are held against all texts, in
+    blocks of MAX_LOOSE.
     """
     q, c = term_sets(queries, "query_id", query), term_sets(corpus, id_col, text)
     needle = queries.select("query_id", F.trim(query).alias("_q"), X.terms(query).alias("_t"))
@@ -56,13 +59,12 @@ def overlap(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, qu
     score = F.least(F.lit(1.0), F.greatest(F.when(F.col("exact"), 0.9).otherwise(0.0), raw))
     told = hits.select("query_id", id_col, F.round(score, 6).alias("score"), "matched", "exact")
     loose = needle.filter("inner = 0 AND nq > 0").select("query_id", "_q")
-    n = loose.limit(MAX_LOOSE + 1).count()
-    if n > MAX_LOOSE:
-        raise ValueError(f"more than {MAX_LOOSE} queries have no inner term")
-    if not n:
+    blocks = -(-loose.count() // MAX_LOOSE)
+    if not blocks:
         return told
     texts = corpus.select(id_col, text.alias("_text")).filter(F.size(X.terms(F.col("_text"))) > 0)
-    exact = texts.join(F.broadcast(loose), F.contains("_text", F.col("_q"))).select("query_id", id_col)
+    part = lambda k: loose.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+    exact = reduce(DataFrame.unionByName, [texts.join(F.broadcast(part(k)), F.contains("_text", F.col("_q"))).select("query_id", id_col) for k in range(blocks)])
     alone = exact.join(told.select("query_id", id_col), ["query_id", id_col], "left_anti")
     return told.unionByName(alone.select("query_id", id_col, F.lit(0.9).alias("score"), F.lit(0).cast("long").alias("matched"), F.lit(True).alias("exact")))
 

@@ -84,11 +84,15 @@ def drop_stored(*tables: DataFrame | None) -> None:
 def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
     """build() stored, and every other table that was stored for it removed, also where it fails."""
     _WRITTEN.append([])
+    kept = None
     try:
         out = stored(build(), name)
-        _WRITTEN[-1].pop()
+        kept = _WRITTEN[-1].pop()
     finally:
         remove(spark, _WRITTEN.pop())
+        # inside another settled, what is kept here is on the way there
+        if kept and _WRITTEN:
+            _WRITTEN[-1].append(kept)
     return out
 
 

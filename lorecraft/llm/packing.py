@@ -30,7 +30,7 @@ END_ID = 1
 #: Pieces of a group, which one task packs.
 GROUP_PIECES = 20_000
 #: Chunks of text whose ids a task remembers, and bytes of the longest one of them.
-REMEMBERED, REMEMBERED_BYTES = 150_000, 100
+REMEMBERED, REMEMBERED_BYTES = 400_000, 100
 
 #: Chunks of printable ASCII and of the Latin letters that have one lower-case form and are composed.
 _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f]+")

@@ -28,6 +28,15 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: Space separators of any script, which the trim of SQL takes off too.
+SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Text without space separators of any script at both ends."""
+    return F.btrim(text, F.lit(SEPARATORS))
+
+
 def let(value: Column, body) -> Column:
     """body(value), where value is worked out once however often body names it."""
     return F.get(F.transform(F.array(value), body), 0)

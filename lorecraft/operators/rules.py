@@ -308,7 +308,7 @@ def valid_citations(citations: DataFrame, card: str, most: int = MAX_CITED) -> D
     c, quote = F.col, F.col("quote")
     good = (
         F.rlike("id", F.lit("^citation_[A-Za-z0-9_-]+$")) & F.rlike("chunk", F.lit("^chunk_[A-Za-z0-9_-]+$")) & F.rlike("doc", F.lit("^doc_[A-Za-z0-9_-]+$")) & c("claim").isin(CITED_CLAIMS) & c("type").isin(CITED_TYPES)
-        & (F.trim("title") != "") & (F.length("title") <= 512) & (c("url").isNull() | F.rlike("url", F.lit(r"(?i)^https?://\S+$"))) & (F.trim(quote) != "") & (quote == F.trim(quote)) & (F.length(quote) <= 2000)
+        & (X.trimmed(F.col("title")) != "") & (F.length("title") <= 512) & (c("url").isNull() | F.rlike("url", F.lit(r"(?i)^https?://\S+$"))) & (X.trimmed(quote) != "") & (quote == X.trimmed(quote)) & (F.length(quote) <= 2000)
         & (c("start") >= 0) & (c("end") > c("start")) & (F.length(quote) == c("end") - c("start")) & (c("page").isNull() | c("page").between(1, 100_000))
     )
     own = first_rows(citations, [card], ["place"], most, "_n").filter(good)

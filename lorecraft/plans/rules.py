@@ -262,7 +262,7 @@ def fn23(spark, d):
     i = F.col("doc_id")
     c = B.documents(spark, d).select(
         F.floor(i / 12).alias("card"), i.alias("place"), F.concat(F.lit("citation_"), (i % 7).cast("string")).alias("id"), F.lit("chunk_1").alias("chunk"), F.concat(F.lit("doc_"), i.cast("string")).alias("doc"), F.when(i % 11 == 0, "colour").otherwise("summary").alias("claim"),
-        F.lit("text").alias("type"), F.lit("t").alias("title"), F.when(i % 13 == 0, "ftp://x").otherwise(F.lit(None)).alias("url"), F.substring("text", 1, 20).alias("quote"), F.lit(0).alias("start"), F.when(i % 5 == 0, 19).otherwise(20).alias("end"), F.lit(None).cast("int").alias("page"),
+        F.lit("text").alias("type"), F.lit("t").alias("title"), F.when(i % 13 == 0, "ftp://x").otherwise(F.lit(None)).alias("url"), F.substring("text", 1, 20).alias("quote"), F.lit(0).alias("start"), F.when(i % 5 == 0, 21).otherwise(20).alias("end"), F.lit(None).cast("int").alias("page"),
     )
     return U.valid_citations(c, "card").select("card", "id", "place")
 

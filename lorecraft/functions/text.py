@@ -176,11 +176,20 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def collapse_repetition(text: Column, limit: int = 600) -> Column:
-    """One copy of a text that repeats a period, then its distinct sentences in order."""
-    n = F.length(text)
-    periods = F.filter(F.sequence(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))), lambda p: (n % p == 0) & (F.repeat(F.substring(text, F.lit(1), p), (n / p).cast("int")) == text))
-    once = F.when(F.size(periods) > 0, F.substring(text, F.lit(1), F.get(periods, 0))).otherwise(text)
-    parts = F.filter(F.transform(F.split(once, r"[。！？!?；;\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    """One copy of a text that repeats a period, then its distinct sentences in order; null is empty.
+
+    Periods are divisors of the length, which come in pairs with one up to its root.
+    """
+
+    def once(t: Column, n: Column) -> Column:
+        small = F.filter(F.sequence(F.lit(1), F.greatest(F.floor(F.sqrt(n)).cast("int"), F.lit(1))), lambda p: n % p == 0)
+        some = F.filter(F.concat(small, F.transform(small, lambda p: (n / p).cast("int"))), lambda p: p.between(F.lit(1), F.greatest(F.floor(n / 2).cast("int"), F.lit(1))))
+        period = F.array_min(F.filter(some, lambda p: F.substring(t, p + 1, n) == F.substring(t, F.lit(1), n - p)))
+        return F.substring(t, F.lit(1), F.coalesce(period, n))
+
+    # the length is counted once: inside a lambda each look at it would read the whole text again
+    whole = let(F.coalesce(text, F.lit("")), lambda t: let(F.length(t), lambda n: once(t, n)))
+    parts = F.filter(F.transform(F.split(whole, r"[。！？!?；;\n]+"), lambda x: trimmed(x)), lambda x: x != "")
     return F.substring(F.array_join(F.array_distinct(parts), "。 "), 1, limit)
 
 

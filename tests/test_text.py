@@ -15,6 +15,22 @@ def told(spark, texts, of):
     return [r.o for r in sorted(rows)]
 
 
+def test_repetition_of_texts_and_of_a_long_one(spark):
+    texts = ["", "a", "aa", "aba", "abab", "ababab", "abcabcab", "éé", "x。x。y", "x\u2003。x。\u00a0y", None, "ab" * 45, "a" * 7 + "b"]
+
+    def once(t):
+        t = t or ""
+        p = next((p for p in range(1, max(len(t) // 2, 1) + 1) if len(t) % p == 0 and t[:p] * (len(t) // p) == t), len(t))
+        parts = [x.strip(X.SEPARATORS) for x in re.split(r"[。！？!?；;\n]+", t[:p])]
+        return "。 ".join(dict.fromkeys(x for x in parts if x))[:600]
+
+    assert told(spark, texts, X.collapse_repetition) == [once(t) for t in texts]
+    # counting the length at every possible period made this a matter of minutes
+    begun = time.time()
+    assert told(spark, ["ab" * 250_000 + "c"], X.collapse_repetition) == [("ab" * 300)]
+    assert time.time() - begun < 20
+
+
 def test_quotes_with_separators_at_an_end_are_not_cited(spark):
     quotes = ["twenty characters 20", "nineteen character\u00a0x"[:19] + "\u00a0", "\u2003ineteen characters"[:20], "tab stays as it is\t\t"]
     rows = [(1, n, f"citation_{n}", "chunk_1", "doc_1", "summary", "text", "t", None, q, 0, len(q), None) for n, q in enumerate(quotes)]

@@ -63,3 +63,32 @@ def test_daily_goals(spark, tmp_path):
     got = collected(spark, S.daily_goals(stream), tmp_path, "complete")
     want = {(r.learner, r.day): r.answered for r in R.day_state(rv).collect()}
     assert {(r.learner, str(r.day)): r.answered for r in got.collect()} == want
+
+
+def test_learners_of_one_group_and_without_a_unit_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "GROUPS", 2)
+    rv = B.review_events(spark, SF).withColumn("answered_at", F.col("answered_at").cast("timestamp"))
+    odd = rv.withColumn("unit", F.when(F.col("id") % 5 != 0, F.col("unit"))).withColumn("correct", F.when(F.col("id") % 7 != 0, F.col("correct")))
+    for k in range(3):
+        odd.filter(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rv.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(spark, S.running_mastery(stream), tmp_path, "update")
+    names = ["review_count", "correct_count", "no_hint_correct_count", "consecutive_no_hint_correct", "exercise_count", "last_reviewed_ms"]
+    last = got.groupBy("learner", "unit").agg(F.max_by(F.struct(*names), F.struct("review_count", "last_reviewed_ms")).alias("s")).select("learner", "unit", "s.*").collect()
+    assert {tuple(r) for r in last} == {(r.learner, r.unit, *[r[n] for n in names]) for r in R.mastery(odd).collect()}
+
+
+def test_a_call_serves_a_group_of_learners():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    import pandas as pd
+
+    rows = [(n % 40, n % 3, n, n % 4, n % 2 == 0, False, n * R.DAY_MS) for n in range(400)]
+    frame = pd.DataFrame(rows, columns=["learner", "unit", "id", "exercise", "correct", "hint_used", "ms"])
+    advance, state = S._advanced(5 * R.DAY_MS), State()
+    parts = [next(advance((0,), iter([frame[frame["id"] % 2 == k]]), state)) for k in (0, 1)]
+    assert sum(len(p) for p in parts) == len({(n % 2, n % 40, n % 3) for n in range(400)})

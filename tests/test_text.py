@@ -31,6 +31,19 @@ def test_repetition_of_texts_and_of_a_long_one(spark):
     assert time.time() - begun < 20
 
 
+def test_only_texts_that_nfkc_may_change_go_to_python(spark):
+    plain = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), X.NOT_PLAIN.partition("&&")[2].removesuffix("]")))
+    joined = {int(p[1], 16) for c in map(chr, range(0x110000)) if (d := unicodedata.decomposition(c)) and not d.startswith("<") and len(p := d.split()) == 2}
+    joined |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for c in map(chr, range(0x80, 0x110000)):
+        if not plain.match(c):
+            assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) and ord(c) not in joined
+    texts = ["ascii", "Füße, naïve Żółć", "ﬁ", "Ａ１", "e\u0301", "가\u11a8", "한글", "汉字，可以", "\u00a0", "…", "", None, "😀", "²"]
+    assert told(spark, texts, X.nfkc) == [t and unicodedata.normalize("NFKC", t) for t in texts]
+    # Füße, ascii, 한글 and the like are null on their way there
+    assert told(spark, texts, lambda t: F.rlike(t, F.lit(X.NOT_PLAIN)))[:3] == [False, False, True]
+
+
 def test_quotes_with_separators_at_an_end_are_not_cited(spark):
     quotes = ["twenty characters 20", "nineteen character\u00a0x"[:19] + "\u00a0", "\u2003ineteen characters"[:20], "tab stays as it is\t\t"]
     rows = [(1, n, f"citation_{n}", "chunk_1", "doc_1", "summary", "text", "t", None, q, 0, len(q), None) for n, q in enumerate(quotes)]

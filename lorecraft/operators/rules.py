@@ -409,29 +409,48 @@ class HashedBigrams:
 
     # Factors of the hash of two code points.
     FIRST, SECOND = 2654435761, 2246822519
+    #: Code points that are hashed at once.
+    BLOCK = 1 << 18
 
     def __init__(self, dimensions: int = 64):
         self.dimensions, self.fingerprint = dimensions, f"hashed-bigrams-{dimensions}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        codes = [np.frombuffer(" ".join((t or "").lower().split()).encode("utf-32-le"), "<u4").astype(np.int64) for t in texts]
-        # bigrams of all texts at once; one that goes from a text into the next doesn't count
-        row, flat = np.repeat(np.arange(len(texts)), [len(c) for c in codes]), np.concatenate([*codes, np.zeros(0, np.int64)])
-        own = row[1:] == row[:-1]
-        h = ((flat[:-1] * self.FIRST + flat[1:] * self.SECOND) & 0xFFFFFFFF)[own]
-        place = row[:-1][own] * self.dimensions + (h >> 16) % self.dimensions
-        out = np.bincount(place, np.where(h >> 31, 1.0, -1.0), len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
+        out, own, size, first = np.zeros((len(texts), self.dimensions)), [], 0, 0
+        for i, text in enumerate(texts, 1):
+            own.append(np.frombuffer(" ".join((text or "").lower().split()).encode("utf-32-le"), "<u4"))
+            size += len(own[-1])
+            if size >= self.BLOCK or i == len(texts):
+                self.count(own, out[first:i])
+                own, size, first = [], 0, i
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).tolist()
 
+    def count(self, codes: list[np.ndarray], out: np.ndarray) -> None:
+        """Adds the signed bigrams of each text to its row of out, a block of all of them at a time."""
+        # one that goes from a text into the next doesn't count
+        rows, flat = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes]), np.concatenate(codes)
+        for at in range(0, len(flat) - 1, self.BLOCK):
+            row, c = rows[at : at + self.BLOCK + 1], flat[at : at + self.BLOCK + 1].astype(np.int64)
+            own = row[1:] == row[:-1]
+            h = ((c[:-1] * self.FIRST + c[1:] * self.SECOND) & 0xFFFFFFFF)[own]
+            place = row[:-1][own].astype(np.int64) * self.dimensions + (h >> 16) % self.dimensions
+            out += np.bincount(place, np.where(h >> 31, 1.0, -1.0), out.size).reshape(out.shape)
+
+
+#: Texts of one call of a model.
+EMBEDDED = 512
+
 
 def embedded(entries: DataFrame, id_col: str, text_col: str, embedding=None) -> DataFrame:
-    """(id, model, embedding) of entries by any object with `fingerprint` and `embed(texts)`, a batch at a time in the tasks."""
+    """(id, model, embedding) of entries by any object with `fingerprint` and `embed(texts)`, EMBEDDED texts at a time in the tasks."""
     model = embedding or HashedBigrams()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "model": model.fingerprint, "embedding": model.embed(pdf["text"].tolist())})
+        for batch in batches:
+            for at in range(0, len(batch), EMBEDDED):
+                pdf = batch.iloc[at : at + EMBEDDED]
+                yield pd.DataFrame({"id": pdf["id"], "model": model.fingerprint, "embedding": model.embed(pdf["text"].tolist())})
 
     kind = entries.schema[id_col].dataType.simpleString()
     source = entries.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

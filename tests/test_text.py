@@ -60,3 +60,29 @@ def test_cited_query_on_short_texts_equals_its_sql(spark, tmp_path):
     next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     name = "FN23_valid_citations"
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(duck(SQL[name], tmp_path))
+
+
+def test_embedding_in_blocks_equals_a_walk_over_bigrams(monkeypatch):
+    import numpy as np
+
+    from lorecraft.operators.rules import HashedBigrams
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (0, 1, 2, 30, 7, 31, 200, 3)] + [None, " A  b ", ""]
+    model = HashedBigrams()
+
+    def walk(t):
+        t, v = " ".join((t or "").lower().split()), np.zeros(64)
+        for a, b in zip(t, t[1:]):
+            h = (ord(a) * model.FIRST + ord(b) * model.SECOND) % 2**32
+            v[(h >> 16) % 64] += 1 if h >> 31 else -1
+        return v / (np.linalg.norm(v) or 1)
+
+    want = np.array([walk(t) for t in texts])
+    sizes = []
+    bincount = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *rest: (sizes.append(len(x)), bincount(x, *rest))[1])
+    for block in (1, 10, 33, 1 << 18):
+        monkeypatch.setattr(HashedBigrams, "BLOCK", block, raising=False)
+        sizes.clear()
+        assert np.allclose(model.embed(texts), want) and max(sizes) <= block

@@ -27,7 +27,7 @@ def indexed(passages: DataFrame) -> dict[str, DataFrame]:
     whole = X.normalize_text(F.concat(F.coalesce("heading", F.lit("")), F.lit(HEADING_BREAK), F.coalesce("text", F.lit(""))))
     told = passages.withColumn("norm", whole)
     entries = told.select("owner", "entry", "type", "linked", "heading", "text", "norm", X.terms(F.col("norm")).alias("terms"))
-    postings = entries.select("owner", "entry", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    postings = entries.withColumn("n_terms", F.size("terms")).select("owner", "entry", "n_terms", F.explode("terms").alias("term"))
     return {"entries": entries, "postings": postings}
 
 

@@ -28,7 +28,8 @@ def top(rows: DataFrame, by: list[str], order: list, k: int, name: str = "rank")
 def term_sets(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, n_terms): the distinct terms of each row."""
     told = rows.select(key, X.terms(text).alias("_t"))
-    return told.select(key, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+    # counted before: else each row of a term would carry the whole set
+    return told.withColumn("n_terms", F.size("_t")).select(key, "n_terms", F.explode("_t").alias("term"))
 
 
 #: Queries whose words can all be parts of longer ones, which are looked for in every text: so many of them, more or less, in one broadcast.

@@ -86,3 +86,15 @@ def test_embedding_in_blocks_equals_a_walk_over_bigrams(monkeypatch):
         monkeypatch.setattr(HashedBigrams, "BLOCK", block, raising=False)
         sizes.clear()
         assert np.allclose(model.embed(texts), want) and max(sizes) <= block
+
+
+def test_rows_of_terms_do_not_carry_the_set(spark):
+    from lorecraft.operators import index, retrieval
+
+    docs = spark.createDataFrame([(1, "alpha beta alpha")], "doc_id long, text string")
+    passages = docs.selectExpr("doc_id AS owner", "0 AS entry", "'document' AS type", "true AS linked", "'' AS heading", "text")
+    for rows in (retrieval.term_sets(docs, "doc_id", F.col("text")), index.indexed(passages)["postings"]):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        kept = re.findall(r"Generate explode\((\w+#\d+)\), \[([^\]]*)\]", plan)
+        assert kept and all(made not in own for made, own in kept)
+        assert {(r.n_terms, r.term) for r in rows.collect()} == {(2, "alpha"), (2, "beta")}

@@ -16,7 +16,8 @@ from lorecraft.functions import text as X
 
 # Patterns and words of the claim rules.
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"  # a word boundary of ASCII letters
-RELATION = r"(?<!\w)([A-Za-z_][\w-]*)\s*(<=|>=|≤|≥|小于等于|大于等于|不超过|未超过|不大于|不少于|不小于)\s*(?:其|该)?\s*([A-Za-z_][\w-]*)" + _EDGE
+# no sign begins with what a name or white space may hold, so neither gives anything back
+RELATION = r"(?<!\w)([A-Za-z_][\w-]*+)\s*+(<=|>=|≤|≥|小于等于|大于等于|不超过|未超过|不大于|不少于|不小于)\s*(?:其|该)?\s*([A-Za-z_][\w-]*)" + _EDGE
 REVERSED = [">=", "≥", "大于等于", "不少于", "不小于"]
 RELATION_DENIED = r"(?:不是|并非|错误地认为|误以为|不能认为|不能推出|不能推导出|不能得出)\s*$"
 RELATION_REJECTED = r"^(?:的(?:说法|规则|判断))?(?:是|并)?(?:错误|不成立|不准确)"
@@ -55,6 +56,14 @@ def has_text(c: Column) -> Column:
     return F.coalesce(F.rlike(c, F.lit(r"\S")), F.lit(False))
 
 
+def one_each(rows: DataFrame, items: Column, name: str, *columns) -> DataFrame:
+    """columns of rows with a row for each item of an array.
+
+    Spark infers no filter on the array of an outer explode, which would work out its expression again.
+    """
+    return rows.select(*columns, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def texts_of(evidence: DataFrame) -> DataFrame:
     """The sources of evidence that are texts, blank ones left out."""
     return evidence.filter((F.coalesce("kind", F.lit("text")) != "image") & has_text(F.col("text")))
@@ -90,18 +99,20 @@ def boundary_issues(fields: DataFrame, evidence: DataFrame) -> DataFrame:
     of a field are one field. An empty table gives an empty table.
     """
     texts = texts_of(evidence)
-    supported = texts.select("candidate", F.explode(relations(F.col("text"))).alias("r")).select("candidate", F.col("r.key").alias("key")).distinct().withColumn("supported", F.lit(True))
+    supported = one_each(texts, relations(F.col("text")), "r", "candidate").select("candidate", F.col("r.key").alias("key")).distinct().withColumn("supported", F.lit(True))
     quoted = F.coalesce(has_text(F.col("option")) & (F.startswith("value", F.concat("option", F.lit("："))) | F.startswith("value", F.concat("option", F.lit(":")))), F.lit(False))
     marked = lambda r, rest: F.struct(r["left"].alias("left"), r["right"].alias("right"), r["key"].alias("key"), r["quote"].alias("quote"), r["at"].alias("at"), F.lit(rest).alias("rest"))
     own = F.transform(relations(F.col("value")), lambda r: marked(r, False))
     rest = F.transform(F.filter(relations(X.tail(F.col("value"), F.length("option") + 1)), lambda r: F.col("quoted")), lambda r: marked(r, True))
     told = fields.filter(has_text(F.col("value"))).withColumn("quoted", quoted)
-    told = told.select("candidate", "field", "value", "option", "quoted", F.explode(F.concat(own, F.coalesce(rest, F.array().cast("array<struct<left:string,right:string,key:string,quote:string,at:int,rest:boolean>>")))).alias("r"))
+    none = F.array().cast("array<struct<left:string,right:string,key:string,quote:string,at:int,rest:boolean>>")
+    told = one_each(told, F.concat(own, F.coalesce(rest, none)), "r", "candidate", "field", "value", "option", "quoted")
     covered = F.col("quoted") & (F.instr(F.col("value"), F.col("r.quote")) - 1 < F.length("option"))
     entries = told.select("candidate", "field", "r.*", F.coalesce(covered, F.lit(False)).alias("covered"))
-    names = entries.filter(~F.col("rest")).select("candidate", F.explode(F.array("left", "right")).alias("name")).distinct()
-    words = texts.select("candidate", F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9_-]+"))).alias("name"))
-    known = words.join(names, ["candidate", "name"], "left_semi").distinct().withColumn("known", F.lit(True))
+    names = entries.filter(~F.col("rest")).select("candidate", F.explode(F.array("left", "right")).alias("name")).groupBy("candidate").agg(F.collect_set("name").alias("names"))
+    # a text meets the few names of its candidate; its words are no rows
+    words = one_each(texts.join(names, "candidate"), F.array_intersect(F.split("text", "[^A-Za-z0-9_-]+"), "names"), "name", "candidate")
+    known = words.distinct().withColumn("known", F.lit(True))
     of = lambda side: known.select("candidate", F.col("name").alias(side), F.col("known").alias(f"{side}_known"))
     flagged = entries.join(supported, ["candidate", "key"], "left").join(of("left"), ["candidate", "left"], "left").join(of("right"), ["candidate", "right"], "left")
     open_ = F.col("supported").isNull()

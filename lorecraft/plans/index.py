@@ -30,17 +30,23 @@ def passages(spark, d, docs):
     return own.select(F.col("doc_id").alias("owner"), F.col("start").alias("entry"), kind.alias("type"), "linked", F.col("source").alias("heading"), "text")
 
 
-def live(spark, d):
-    """entries and postings of an index after a revision of every tenth document and the removal of every seventeenth."""
+def revised(spark, d):
+    """The path of an index after a revision of every tenth document and the removal of every seventeenth."""
     path, docs = fresh_path(spark, "index"), B.documents(spark, d).select("doc_id", "text")
     I.build(spark, path, passages(spark, d, docs))
-    revised = docs.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("Revised. "), "text"))
-    I.update(spark, path, passages(spark, d, revised), docs.filter("doc_id % 17 = 0").select(F.col("doc_id").alias("owner")), "revision 1")
-    return [commits.read(spark, path, name, I.KEY) for name in ("entries", "postings")]
+    changed = docs.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("Revised. "), "text"))
+    I.update(spark, path, passages(spark, d, changed), docs.filter("doc_id % 17 = 0").select(F.col("doc_id").alias("owner")), "revision 1")
+    return path
 
 
-def hits(spark, d):
-    return I.overlaps(B.queries(spark, d), *live(spark, d))
+def live(spark, path):
+    """Its entries."""
+    return commits.read(spark, path, "entries", I.KEY)
+
+
+def hits(spark, d, path=None):
+    path = path or revised(spark, d)
+    return I.overlaps(B.queries(spark, d), *[commits.every(spark, path, name) for name in ("entries", "postings")], holding=commits.holding(spark, path, I.KEY))
 
 
 _HITS = f"""WITH docs AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN 'Revised. ' || text ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0 AND length(text) > 0),
@@ -79,12 +85,12 @@ SELECT query_id, owner, entry, score, lexical_score, dense_score, row_number() O
 FROM ca WHERE n <= CASE type WHEN 'card' THEN 1 ELSE 2 END QUALIFY rank <= 5""")
 def rt8_passages(spark, d):
     """Both branches over passages: overlap, and cosines of the passage that opens a document."""
-    entries, postings = live(spark, d)
+    path = revised(spark, d)
     v = B.table(spark, d, "embeddings").select("vec_id", "embedding")
     q = B.queries(spark, d).select("query_id").join(v.withColumnRenamed("vec_id", "query_id"), "query_id")
-    opening = entries.filter("entry = 0").select("owner", "entry", "type")
+    opening = live(spark, path).filter("entry = 0").select("owner", "entry", "type")
     near = R.dense(q, opening.select("owner").join(v.withColumnRenamed("vec_id", "owner"), "owner"), "owner", DENSE).join(opening, "owner")
-    return I.fused(I.overlaps(B.queries(spark, d), entries, postings), near, DENSE)
+    return I.fused(hits(spark, d, path), near, DENSE)
 
 
 _TEXT = "CASE WHEN doc_id % 10 = 0 THEN 'Revised. ' || coalesce(text, '') ELSE text END"
@@ -93,4 +99,4 @@ _TEXT = "CASE WHEN doc_id % 10 = 0 THEN 'Revised. ' || coalesce(text, '') ELSE t
 @query("CH7_live_passages", f"""SELECT doc_id AS owner, count(*) AS passages FROM (SELECT doc_id, unnest(range(0, greatest(0, ceil((length(t) - 360) / 320.0)::INT) * 320 + 1, 320)) FROM (SELECT doc_id, {_TEXT} AS t FROM documents WHERE doc_id % 17 <> 0) WHERE length(t) > 0) GROUP BY doc_id""")
 def ch7_live(spark, d):
     """What is live in the index after the revision: one set of passages for each document that is left."""
-    return live(spark, d)[0].groupBy("owner").agg(F.count("*").alias("passages"))
+    return live(spark, revised(spark, d)).groupBy("owner").agg(F.count("*").alias("passages"))

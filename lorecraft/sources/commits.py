@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorecraft.sources.shared import SHUFFLE_CLEANUP, settings
+
 
 class Conflict(Exception):
     """Another writer has made this version; read again and work the change out anew."""
@@ -45,11 +48,11 @@ def version(spark: SparkSession, path: str) -> int:
     return max((m["version"] for m in manifests(spark, path)), default=0)
 
 
-def commit(spark: SparkSession, path: str, change: str, tables: dict[str, DataFrame], keys: DataFrame, expected: int | None = None, base: bool = False) -> int:
+def commit(spark: SparkSession, path: str, change: str, tables: dict[str, DataFrame | Callable], keys: DataFrame, expected: int | None = None, base: bool = False) -> int:
     """The version that holds a change, made now or before.
 
-    tables maps a name to the rows of the changed keys; keys has every changed key and deleted
-    (boolean). With `expected`, a table that has another version by now is a Conflict before
+    tables maps a name to the rows of the changed keys, or to a function that makes them of the
+    tables before it, as they are read back; keys has every changed key and deleted (boolean). With `expected`, a table that has another version by now is a Conflict before
     anything is written.
     """
     told = manifests(spark, path)
@@ -60,8 +63,13 @@ def commit(spark: SparkSession, path: str, change: str, tables: dict[str, DataFr
     if expected is not None and expected != last:
         raise Conflict(f"version {last} instead of {expected}")
     number, folder = last + 1, f"{path}/data/{uuid.uuid4().hex}"
-    for name, rows in (tables | {"_keys": keys}).items():
-        rows.withColumn("_version", F.lit(number)).write.parquet(f"{folder}/{name}")
+    made = {}
+    # the shuffle files of a write go when it is committed
+    with settings(spark, {SHUFFLE_CLEANUP: "true"}):
+        for name, rows in (tables | {"_keys": keys}).items():
+            rows = rows(made) if callable(rows) else rows
+            rows.withColumn("_version", F.lit(number)).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+            made[name] = spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
     put(spark, path, {"version": number, "change": change, "folder": folder, "base": base})
     return number
 
@@ -83,18 +91,31 @@ def put(spark: SparkSession, path: str, manifest: dict) -> None:
         raise Conflict(f"version {manifest['version']} is taken") from e
 
 
-def read(spark: SparkSession, path: str, name: str, key: list[str], at: int | None = None) -> DataFrame:
-    """The rows of a table as of a version (the last one by default)."""
+def based(spark: SparkSession, path: str, at: int | None = None) -> list[dict]:
+    """The commits that a version (the last one by default) is made of, from its base on."""
     told = [m for m in manifests(spark, path) if at is None or m["version"] <= at]
     if not told:
         raise FileNotFoundError(f"nothing is committed in {path}")
-    first = max((k for k, m in enumerate(told) if m["base"]), default=0)
-    live = told[first:]
-    of = lambda table: spark.read.parquet(*[f"{m['folder']}/{table}" for m in live])
-    if len(live) == 1:
-        return of(name).drop("_version")
-    keys = of("_keys").groupBy(*key).agg(F.max_by("deleted", "_version").alias("_deleted"), F.max("_version").alias("_version")).filter(~F.col("_deleted")).drop("_deleted")
-    return of(name).join(keys, [*key, "_version"], "left_semi").drop("_version")
+    return told[max((k for k, m in enumerate(told) if m["base"]), default=0) :]
+
+
+def every(spark: SparkSession, path: str, name: str, at: int | None = None) -> DataFrame:
+    """All rows of a table with their _version, also those that later commits replaced."""
+    return spark.read.parquet(*[f"{m['folder']}/{name}" for m in based(spark, path, at)])
+
+
+def holding(spark: SparkSession, path: str, key: list[str], at: int | None = None) -> DataFrame:
+    """(key, _version): the version that has the rows of each key that is there."""
+    last = every(spark, path, "_keys", at).groupBy(*key).agg(F.max_by("deleted", "_version").alias("_deleted"), F.max("_version").alias("_version"))
+    return last.filter(~F.col("_deleted")).drop("_deleted")
+
+
+def read(spark: SparkSession, path: str, name: str, key: list[str], at: int | None = None) -> DataFrame:
+    """The rows of a table as of a version (the last one by default)."""
+    rows = every(spark, path, name, at)
+    if len(based(spark, path, at)) == 1:
+        return rows.drop("_version")
+    return rows.join(holding(spark, path, key, at), [*key, "_version"], "left_semi").drop("_version")
 
 
 def upsert(spark: SparkSession, path: str, change: str, rows: DataFrame, key: list[str], removed: DataFrame | None = None, expected: int | None = None) -> int:

@@ -118,3 +118,26 @@ def test_a_model_that_fails_stores_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="another shape"):
         V.fill(spark, f"file://{tmp_path}/v", spark.createDataFrame([(1, "a")], "id long, text string"), "a", Broken())
     assert not V.stored(spark, f"file://{tmp_path}/v").collect()
+
+
+def test_searches_shuffle_no_text_and_read_any_version(spark, tmp_path, monkeypatch):
+    """Blocks of queries of any size; entries and postings of all versions with what holds, and those that are live."""
+    texts = ["a cache keeps what is read often", "joins meet rows by keys and a cache", "缓存 holds rows", "", "nothing of the kind", "rows rows rows"]
+    docs = spark.createDataFrame([(i, 0, "document", True, "h", f"{texts[i % 6]} {i}") for i in range(30)], "owner long, entry int, type string, linked boolean, heading string, text string")
+    path = f"file://{tmp_path}/i"
+    I.build(spark, path, docs)
+    I.update(spark, path, docs.filter("owner % 4 = 0").withColumn("text", F.lit("a new cache of rows")), docs.filter("owner % 7 = 0").select("owner"), "change")
+    queries = spark.createDataFrame([(1, "cache rows"), (2, "ache"), (3, "meet rows by"), (4, "absent"), (5, "缓存"), (6, "kin"), (7, None), (1, "cache rows")], "query_id long, query string")
+    live = [commits.read(spark, path, n, I.KEY) for n in ("entries", "postings")]
+    want = {tuple(map(str, r)) for r in I.scored(live[0].withColumnRenamed("terms", "found").crossJoin(I.wanted(queries.dropDuplicates(["query_id"]))), 0.18).collect()}
+    whole = [commits.every(spark, path, n) for n in ("entries", "postings")]
+    for queries_at_once, rows_at_once in ((2000, 1000), (2, 3)):
+        monkeypatch.setattr(I, "QUERIES", queries_at_once)
+        monkeypatch.setattr(I, "ROWS", rows_at_once)
+        for hits in (I.overlaps(queries, *live), I.overlaps(queries, *whole, holding=commits.holding(spark, path, I.KEY))):
+            got = [tuple(map(str, r)) for r in hits.collect()]
+            assert set(got) == want and len(got) == len(want) > 10
+    plan = I.overlaps(queries, *whole)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+    one = I.overlaps(spark.createDataFrame([(9, "absent")], "query_id long, query string"), *live)
+    assert not one.collect()

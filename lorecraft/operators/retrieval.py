@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorecraft.functions import text as X
+from lorecraft.sources.shared import written
 
 K1, B = 1.2, 0.75
 OVERLAP_LEAST, DENSE_LEAST = 0.18, 0.44
@@ -29,15 +30,29 @@ def term_sets(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, n_terms): the distinct terms of each row."""
     told = rows.select(key, X.terms(text).alias("_t"))
     # counted before: else each row of a term would carry the whole set
-    return told.withColumn("n_terms", F.size("_t")).select(key, "n_terms", F.explode("_t").alias("term"))
+    return told.withColumn("n_terms", F.size("_t")).select(key, "n_terms", each("_t"))
+
+
+def each(words: str) -> Column:
+    """A row for each of an array of words.
+
+    The outer form, as the plain one gets a filter that works out the words once more for each of
+    its tests; the row of an empty array has a null word, which no join meets.
+    """
+    return F.explode_outer(words).alias("term")
 
 
 #: Queries whose words can all be parts of longer ones, which are looked for in every text: so many of them, more or less, in one broadcast.
 MAX_LOOSE = 10_000
 
 
-def overlap(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, query: Column) -> DataFrame:
-    """(query_id, id, score, matched, exact) of all pairs with a common term or an exact phrase.
+def met_by(words: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """words(term) joined with the terms of queries, where they lie unless the batch is large."""
+    return words.join(F.broadcast(terms) if queries.count() <= MAX_LOOSE else terms, "term")
+
+
+def overlap(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, query: Column, least: float = 0.0) -> DataFrame:
+    """(query_id, id, score, matched, exact) of all pairs with a common term or an exact phrase that score `least` or more.
 
     hits / sqrt(nq * min(nd, 4 nq)), where a synonym tag counts twice; 0.9 at least where the
     whole query occurs; 1 at most. A text that holds the whole query has all its inner terms,
@@ -50,20 +65,22 @@ def overlap(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, qu
     inner = X.terms(F.regexp_replace("_q", r"^[a-z0-9_]+|[a-z0-9_]+$", " "))
     needle = needle.select("query_id", "_q", F.size("_t").alias("nq"), F.size(inner).alias("inner")).filter(F.length("_q") >= 2)
     weight = F.when(F.startswith("term", F.lit("synonym_")), 2).otherwise(1)
-    both = q.withColumnRenamed("n_terms", "nq").join(c.withColumnRenamed("n_terms", "nd"), "term")
+    both = met_by(c.withColumnRenamed("n_terms", "nd"), queries, q.withColumnRenamed("n_terms", "nq"))
     hits = both.groupBy("query_id", id_col, "nq", "nd").agg(F.sum(weight).alias("hits"), F.count("*").alias("matched"))
-    hits = hits.join(needle.select("query_id", "_q", "inner"), "query_id", "left")
-    full = F.coalesce(F.col("matched") >= F.col("inner"), F.lit(False))
-    found = hits.filter(full).join(corpus.select(id_col, text.alias("_text")), id_col).withColumn("exact", F.contains("_text", F.col("_q"))).drop("_text")
-    hits = found.unionByName(hits.filter(~full).withColumn("exact", F.lit(False)))
+    hits = hits.join(needle.select("query_id", "_q", "inner"), "query_id", "left").withColumn("full", F.coalesce(F.col("matched") >= F.col("inner"), F.lit(False)))
     raw = F.col("hits") / F.sqrt(F.col("nq") * F.least(F.col("nd"), F.col("nq") * 4))
+    # what a phrase may still lift stays; written, as all that follows would cut the texts into words again
+    hits = written(hits.filter(F.col("full") | (raw >= least - 1e-6)).drop("_q", "inner"), "pairs")
+    texts = corpus.select(id_col, text.alias("_text"))
+    found = hits.filter("full").join(needle.select("query_id", "_q"), "query_id").join(texts, id_col).withColumn("exact", F.contains("_text", F.col("_q"))).drop("_text", "_q")
+    hits = found.unionByName(hits.filter("NOT full").withColumn("exact", F.lit(False)))
     score = F.least(F.lit(1.0), F.greatest(F.when(F.col("exact"), 0.9).otherwise(0.0), raw))
-    told = hits.select("query_id", id_col, F.round(score, 6).alias("score"), "matched", "exact")
+    told = hits.select("query_id", id_col, F.round(score, 6).alias("score"), "matched", "exact").filter(F.col("score") >= least)
     loose = needle.filter("inner = 0 AND nq > 0").select("query_id", "_q")
     blocks = -(-loose.count() // MAX_LOOSE)
     if not blocks:
         return told
-    texts = corpus.select(id_col, text.alias("_text")).filter(F.size(X.terms(F.col("_text"))) > 0)
+    texts = texts.filter(F.size(X.terms(F.col("_text"))) > 0)
     part = lambda k: loose.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
     exact = reduce(DataFrame.unionByName, [texts.join(F.broadcast(part(k)), F.contains("_text", F.col("_q"))).select("query_id", id_col) for k in range(blocks)])
     alone = exact.join(told.select("query_id", id_col), ["query_id", id_col], "left_anti")
@@ -80,7 +97,7 @@ def evidence_status(queries: DataFrame, hits: DataFrame, documents: DataFrame, l
 
 def postings(corpus: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf)."""
-    return corpus.select(id_col, F.explode(X.tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return corpus.select(id_col, X.tokens(text).alias("_t")).select(id_col, each("_t")).filter("term IS NOT NULL").groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_statistics(corpus: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,14 +111,15 @@ def bm25(queries: DataFrame, corpus: DataFrame, id_col: str, text: Column, query
     """(query_id, id, score): BM25 over distinct query terms, of pairs that score above 0.
 
     Only postings of terms that some query has are counted and joined: terms of the batch are
-    a semi join before anything is aggregated. Document lengths come from the same scan.
+    a join before anything is aggregated.
     """
     if k1 < 0 or not 0 <= b <= 1:
         raise ValueError("k1 is 0 or more and b from 0 to 1")
     q = queries.select("query_id", F.explode(F.array_distinct(X.tokens(query))).alias("term"))
     tokens = corpus.select(id_col, X.tokens(text).alias("_t")).withColumn("len", F.size("_t"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = tokens.select(id_col, "len", F.explode("_t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy(id_col, "len", "term").agg(F.count("*").alias("tf"))
+    # written, as both sides of what follows would cut the texts into words again
+    tf = written(met_by(tokens.select(id_col, "len", each("_t")), queries, q.select("term").distinct()).groupBy(id_col, "len", "term").agg(F.count("*").alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     both = q.join(df, "term").join(tf, "term").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

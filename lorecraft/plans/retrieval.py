@@ -39,8 +39,8 @@ _DENSE = f"""WITH dn AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, v.labe
 """
 
 
-def overlap(spark, d):
-    return R.overlap(B.queries(spark, d), B.documents(spark, d), "doc_id", text(), searched())
+def overlap(spark, d, least=0.0):
+    return R.overlap(B.queries(spark, d), B.documents(spark, d), "doc_id", text(), searched(), least)
 
 
 def bm25(spark, d):
@@ -54,7 +54,7 @@ def dense(spark, d):
 
 @query("RT1_lexical_overlap", _OVER + "SELECT query_id, doc_id, score, exact FROM over WHERE score >= 0.18")
 def rt1(spark, d):
-    return overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST).select("query_id", "doc_id", "score", "exact")
+    return overlap(spark, d, R.OVERLAP_LEAST).select("query_id", "doc_id", "score", "exact")
 
 
 @query("RT2_score_explanation", _OVER + "SELECT query_id, sum(matched)::BIGINT AS matched, count(*) FILTER (WHERE exact) AS exact_hits FROM over GROUP BY query_id")
@@ -64,7 +64,7 @@ def rt2(spark, d):
 
 @query("RT3_lexical_topk", _OVER + "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM over WHERE score >= 0.18) WHERE rank <= 5")
 def rt3(spark, d):
-    hits = overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST).select("query_id", "doc_id", "score")
+    hits = overlap(spark, d, R.OVERLAP_LEAST).select("query_id", "doc_id", "score")
     return R.top(hits, ["query_id"], [F.col("score").desc(), "doc_id"], 5)
 
 
@@ -93,7 +93,7 @@ _BOTH = _OVER + ", lx AS (SELECT query_id, doc_id, score FROM over WHERE score >
 
 @query("RT7_rank_fusion", _BOTH + "SELECT * FROM fu")
 def rt7(spark, d):
-    return R.fused(overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST), bm25(spark, d), "doc_id")
+    return R.fused(overlap(spark, d, R.OVERLAP_LEAST), bm25(spark, d), "doc_id")
 
 
 @query("RT9_group_caps", _BOTH + """SELECT query_id, doc_id, source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
@@ -105,7 +105,7 @@ def rt9(spark, d):
 
 @query("RT10_gated_fusion", _BOTH + "SELECT b.query_id, b.doc_id, b.score FROM bm b JOIN lx ON lx.query_id = b.query_id AND lx.doc_id = b.doc_id")
 def rt10(spark, d):
-    gate = overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST).select("query_id", "doc_id")
+    gate = overlap(spark, d, R.OVERLAP_LEAST).select("query_id", "doc_id")
     return bm25(spark, d).join(gate, ["query_id", "doc_id"]).select("query_id", "doc_id", "score")
 
 
@@ -121,14 +121,14 @@ def rt11(spark, d):
 SELECT query_id, doc_id, source, rank, candidates FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE g <= 2) WHERE rank <= 5""")
 def rt12(spark, d):
     """At most 2 of a document's source, then 5 of a query, with the number of candidates there were."""
-    hits = overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST).join(B.documents(spark, d).select("doc_id", "source"), "doc_id")
+    hits = overlap(spark, d, R.OVERLAP_LEAST).join(B.documents(spark, d).select("doc_id", "source"), "doc_id")
     counts = hits.groupBy("query_id").agg(F.count("*").alias("candidates"))
     return R.group_capped(hits, "source", 2, 5, [F.col("score").desc(), "doc_id"]).join(counts, "query_id").select("query_id", "doc_id", "source", "rank", "candidates")
 
 
 @query("RT13_similar_check", _OVER + "SELECT query_id, doc_id, rank, round(100 * score)::BIGINT AS percent FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM over WHERE score >= 0.72) WHERE rank <= 3")
 def rt13(spark, d):
-    hits = R.top(overlap(spark, d).filter("score >= 0.72"), ["query_id"], [F.col("score").desc(), "doc_id"], 3)
+    hits = R.top(overlap(spark, d, 0.72), ["query_id"], [F.col("score").desc(), "doc_id"], 3)
     return hits.select("query_id", "doc_id", "rank", F.round(100 * F.col("score")).cast("long").alias("percent"))
 
 
@@ -139,7 +139,7 @@ def rt15(spark, d):
 
 @query("RT16_linked_only", _OVER + "SELECT query_id, doc_id, score FROM over WHERE score >= 0.18 AND doc_id IN (SELECT doc_id FROM labels) AND doc_id <> query_id")
 def rt16(spark, d):
-    hits = overlap(spark, d).filter(F.col("score") >= R.OVERLAP_LEAST)
+    hits = overlap(spark, d, R.OVERLAP_LEAST)
     return hits.join(B.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").filter("doc_id <> query_id").select("query_id", "doc_id", "score")
 
 

@@ -6,6 +6,8 @@ what each of them must give.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from lorecraft import bindings as B
@@ -214,11 +216,11 @@ def me2(spark, d):
 # ---- strategies
 
 
-#: Retrieval strategies by name: (spark, folder) -> (query_id, doc_id, score).
+#: Retrieval strategies by name: (term overlap, BM25), which are made where they are called, -> (query_id, doc_id, score).
 STRATEGIES = {
-    "lexical": lambda s, d: overlap(s, d).filter(F.col("score") >= R.OVERLAP_LEAST).select("query_id", "doc_id", "score"),
-    "bm25": bm25,
-    "bm25_gated": lambda s, d: bm25(s, d).join(overlap(s, d).filter(F.col("score") >= R.OVERLAP_LEAST).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"),
+    "lexical": lambda lexical, ranked: lexical().select("query_id", "doc_id", "score"),
+    "bm25": lambda lexical, ranked: ranked(),
+    "bm25_gated": lambda lexical, ranked: ranked().join(lexical().select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"),
 }
 
 
@@ -229,8 +231,9 @@ def ev5_lexical(spark, d):
 
 
 def strategy_matrix(spark, d, strategies, k=3):
-    """(strategy, query_id, doc_id, rank) of all strategies in one long table."""
-    parts = [R.top(f(spark, d), ["query_id"], [F.col("score").desc(), "doc_id"], k).select(F.lit(name).alias("strategy"), "query_id", "doc_id", "rank") for name, f in strategies.items()]
+    """(strategy, query_id, doc_id, rank) of all strategies in one long table; what several of them search by is made once."""
+    lexical, ranked = cache(lambda: overlap(spark, d, R.OVERLAP_LEAST)), cache(lambda: bm25(spark, d))
+    parts = [R.top(f(lexical, ranked), ["query_id"], [F.col("score").desc(), "doc_id"], k).select(F.lit(name).alias("strategy"), "query_id", "doc_id", "rank") for name, f in strategies.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -98,3 +98,20 @@ def test_rows_of_terms_do_not_carry_the_set(spark):
         kept = re.findall(r"Generate explode\((\w+#\d+)\), \[([^\]]*)\]", plan)
         assert kept and all(made not in own for made, own in kept)
         assert {(r.n_terms, r.term) for r in rows.collect()} == {(2, "alpha"), (2, "beta")}
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """No inferred filter works the words out again, and what follows reads the pairs that were written."""
+    from lorecraft.operators import retrieval
+
+    docs = spark.createDataFrame([(i, f"alpha beta word{i}") for i in range(9)] + [(9, ""), (10, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha word3 gamma"), (2, "beta word"), (3, "")], "query_id long, query string")
+    text, query = F.coalesce("text", F.lit("")), F.col("query")
+    for rows in (retrieval.term_sets(docs, "doc_id", text), retrieval.postings(docs, "doc_id", text)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 2
+    every = {(r.query_id, r.doc_id): r for r in retrieval.overlap(queries, docs, "doc_id", text, query).collect()}
+    some = retrieval.overlap(queries, docs, "doc_id", text, query, 0.5)
+    assert {(r.query_id, r.doc_id): r for r in some.collect()} == {k: r for k, r in every.items() if r.score >= 0.5} and len(every) == 18
+    for rows in (some.filter("exact = false"), retrieval.bm25(queries, docs, "doc_id", text, query)):
+        assert rows.count() and rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2 * 3
